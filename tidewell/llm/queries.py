@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets
-from .common import table
+from . import bpe, decontaminate, language, quality, secrets, toxicity
+from .common import crc_mod, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +18,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = docs.select("doc_id", "text").filter(crc_mod(F.col("doc_id"), 5) != 0).join(labels.select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(learn))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_matches", "matched")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"), outputs=("n_assign", "n_access", "n_hex", "base_sha256", "spans"))
 
@@ -25,10 +33,21 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op7_bpe_round_trip, op9_quality_rules)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = crc_mod(F.col("doc_id"), 4)
+    found = language.language_id(table(spark, sf_dir, "documents"), learn=rest != 2, held_out=rest == 2)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op7_bpe_round_trip, op8_decontaminate, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learn = docs.select("doc_id", "text").filter(crc_mod(F.col("doc_id"), 5) != 0).join(labels.select("doc_id", "toxic"), "doc_id")
+    learn = toxicity.labelled_rows(docs, labels.filter(crc_mod(F.col("doc_id"), 5) != 0))
     scored = toxicity.score(docs, toxicity.fit(learn))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_matches", "matched")
 

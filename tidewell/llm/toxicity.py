@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick
+from .common import map_arrow, pick, written
 
 FIT_ROWS = 40_000
 #: An entry must be in this share of toxic rows, and in five of them.
@@ -152,7 +152,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> dict:
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """text and label of at most about fit_rows labelled rows, drawn by a hash of the id, as a table in the shared folder.
+
+    The draw is made on the labels, which are small, so the texts need no shuffle: the ids go to the texts, and their number is
+    bounded by fit_rows.
+    """
+    known = pick(labels, id_col, label_col).toDF("id", "label").filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    n = known.count()
+    drawn = known if n <= fit_rows else known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n))
+    return written(pick(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn), "id").select("text", "label").filter(F.col("text").isNotNull()), "labelled")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", fit_rows: int = FIT_ROWS) -> dict:
     """Lexicon with weights, exceptions, and the curve, from rows of text and 0/1 label."""
     rows = pick(labelled, text_col, label_col).toDF("text", "label").filter(F.col("text").isNotNull() & F.col("label").isin(0, 1)).withColumn("label", F.col("label").cast("int"))
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -160,7 +172,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", f
     model: dict = {"weights": {}, "exceptions": [], "curve": np.array([np.log((n_toxic + 1e-9) / (n - n_toxic + 1e-9)) if n else -50.0, 0.0, 0.0])}
     if not n_toxic or n_toxic == n:
         return model
-    if n > fit_rows:
+    if n > 2 * fit_rows:  # not drawn yet
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n))
         n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
         if not n_toxic or n_toxic == n:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, minhash, quality, repeats, secrets, toxicity
-from .common import crc_mod, table
+from . import bpe, decontaminate, language, licenses, minhash, quality, repeats, secrets, token_files, toxicity
+from .common import crc_mod, shared_dir, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -41,6 +41,12 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary(), path, end_id=2)
+    return token_files.read_tokens(spark, path, with_ids=False)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -60,6 +66,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_near_duplicates, op5_repeated_passages, op7_bpe_round_trip, op8_decontaminate, op9_quality_rules, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_near_duplicates, op5_repeated_passages, op6_token_files, op7_bpe_round_trip, op8_decontaminate, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle()}

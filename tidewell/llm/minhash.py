@@ -6,10 +6,12 @@ collision probability of plain MinHash and less variance. ROWS values of one kin
 are candidates. With 40 bands of 4, a pair of similarity 0.75 is missed with probability 2.5e-7.
 
 Equal sets are one class from the start. Within a band's bucket no list of all pairs is made: one member leads, the
-others are confirmed against it on the full sets, and what is confirmed becomes one component. What of a bucket is still in
-several components then gets another leader, until few pairs are left over, which are all confirmed. Should a bucket
-stay mixed, its members are paired by an exact filter instead: similar sets must share one of their rarest shingles
-(a quarter of the set and one). So a bucket's pairs of different components are all dealt with, whatever its size.
+others are confirmed against it on the full sets, and what is confirmed becomes one component. Of a bucket that is still in
+several components, members outside its largest one are held against the others by exact filters inside the join:
+sizes, and bitmaps of the sets (each bit in which two differ is a shingle that only one of them has), so that only
+pairs near the threshold come out and are confirmed. Where even that would be much work, other leaders have a try, and
+then an exact prefix filter: similar sets share one of their rarest shingles (a quarter of the set and one). So a
+bucket's pairs of different components are all dealt with, whatever its size.
 
 Cases: null texts and texts without words have empty sets, n_shingles 0, and are linked with nothing, nor with
 each other. A text of fewer than five words has one shingle, all its words. Rows without id have no component and
@@ -23,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, pick, utf8, written
@@ -33,10 +35,12 @@ from .words import bounds, hashes, lowered, mix, windows
 SHINGLE = 5
 PERMUTATIONS = 80
 ROWS = 4
-#: Rounds of leaders before the exact filter takes over.
-LEADERS = 4
-#: Left-over pairs for each candidate text that are confirmed without a further round.
-FEW = 4
+#: Rounds of leaders before the prefix filter takes over.
+LEADERS = 3
+#: Left-over comparisons for each candidate text (a few machine instructions each) that are made without a further round.
+FEW = 2000
+#: 64-bit words of a set's bitmap.
+BITMAP = 32
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -138,7 +142,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     return map_arrow(both, run, f"a {kind}, b {kind}")
 
 
-def rare_pairs(rows: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """id, b0 .. : a bitmap of each text's set."""
+    kind = texts.select("id").schema[0].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.zeros((batch.num_rows, BITMAP * 64), bool)
+        for row, s in zip(bits, shingle_sets(batch.column(1))):
+            row[(s % np.uint64(BITMAP * 64)).astype(np.int64)] = True
+        words = np.packbits(bits, axis=1).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(BITMAP)]], names=["id", *[f"b{i}" for i in range(BITMAP)]])
+
+    return map_arrow(texts.select("id", "text"), run, ", ".join([f"id {kind}", *[f"b{i} long" for i in range(BITMAP)]]))
+
+
+def may_reach(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles with bitmaps x and y can meet the threshold.
+
+    Bits that differ are at most the shingles that only one set has, d; similarity is (n + m - d) / (n + m + d).
+    """
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
+def rare_pairs(rows: DataFrame, texts: DataFrame, bits: DataFrame, percent: int = 75) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles: an exact filter for the similarity. rows: rep, component."""
     have = rows.join(texts, rows.rep == texts.id).select("rep", "component", "text")
     kind, ckind = have.schema[0].dataType.simpleString(), have.schema[1].dataType.simpleString()
@@ -161,7 +188,9 @@ def rare_pairs(rows: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
     # Length and position: what is left of both sets after this shingle must allow the overlap that is needed.
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     joined = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place") >= need))
-    return joined.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = joined.select(F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("y.rep").alias("b"), F.col("y.n").alias("n_b")).distinct()
+    pairs = pairs.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id"))
+    return pairs.filter(may_reach(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, leaders: int = LEADERS) -> DataFrame:
@@ -175,33 +204,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     buckets = written(rows.join(shared, "key"), "buckets")
     texts = written(docs.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").filter(F.col("text").isNotNull()).dropDuplicates(["id"]), "texts")
+    bits = written(bitmaps(texts), "bitmaps")
     links = component = None
     n_reps = texts.count()
     for turn in range(leaders + 1):
         if not n_reps:
             break
         here = buckets.withColumn("component", F.col("rep")) if component is None else buckets.join(component, buckets.rep == component.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        sizes = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max_by("component", F.struct("size", F.xxhash64("component"))).alias("major"), F.max("size").alias("most")).filter("parts > 1")
+        last = False
         if turn:
+            sizes = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+            mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max_by("component", F.struct("size", F.xxhash64("component"))).alias("major"), F.max("size").alias("most")).filter("parts > 1")
             mixed = written(mixed, "mixed")
             left = mixed.agg(F.count(F.lit(1)), F.sum((F.col("members") - F.col("most")) * F.col("members"))).first()
             if not left[0]:
                 break
-            here = written(here.join(mixed.select("key", "major"), "key"), "here")
-            minor = here.filter("component <> major")
-            if left[1] <= FEW * n_reps:
-                x, y = minor.alias("x"), here.alias("y")
-                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-                last = True
-            elif turn == leaders:
-                pairs, last = rare_pairs(here.select("rep", "component").distinct(), texts, percent), True
-            else:
-                lead, last = minor.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("lead")), False
-                pairs = here.join(lead, "key").filter((F.col("component") != F.col("lead.component")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+            here = here.join(mixed.select("key", "major"), "key")
+            last = left[1] <= FEW * n_reps or turn == leaders
+        if last and left[1] <= FEW * n_reps:
+            here = written(here.join(bits, here.rep == bits.id).drop("id"), "here")
+            x, y = here.filter("component <> major").alias("x"), here.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_reach(F.col("x.n"), F.col("y.n"), percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        elif last:
+            pairs = rare_pairs(here.select("rep", "component").distinct(), texts, bits, percent)
         else:
-            lead, last = here.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "key")).alias("lead")), False
-            pairs = here.join(lead, "key").filter((F.col("rep") != F.col("lead.rep")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+            # One order of leaders for all buckets: a group of near copies has the same leader in most of them.
+            lead = here.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
+            pairs = here.join(lead, "key").filter((F.col("component") != F.col("lead.component")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+            pairs = pairs.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id")).filter(may_reach(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
         found = written(confirm(pairs, texts, percent), "links")
         links = found if links is None else links.unionByName(found)
         component = written(connected_components(links), "components")

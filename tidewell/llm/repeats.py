@@ -26,21 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_text_bytes, pick, utf8
+from .common import checked_text_bytes, map_arrow, pick, utf8
 from .words import mix, powers, ragged
 
 MIN_BYTES = 50
 GRAM = 20
 #: Text bytes in a part, and of a slice that is worked on at once.
-PART_BYTES = 6_000_000
+PART_BYTES = 4_000_000
 SLICE = 1 << 19
 #: Bytes of text for each bucket of minima.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 #: Suffixes sorted together, unless one minimum has more.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -141,7 +142,7 @@ def common_prefixes(words: list[np.ndarray], left: np.ndarray) -> np.ndarray:
 
 
 def maximal_repeats(lcp: np.ndarray, before: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """Maximal repeats of at least `least` bytes: first and last place in the suffix array, length, smallest doc.
+    """Maximal repeats of at least `least` bytes: first and last place in the suffix array, length, smallest doc. Longer ones come before those they are nested in.
 
     before: the byte before each suffix, a negative number of its own where the fragment begins. One scan with a stack of open
     intervals; each carries what its suffixes are preceded by (one byte so far, or several) and their smallest doc.
@@ -201,10 +202,14 @@ def fragment_repeats(data: np.ndarray, ends: np.ndarray, group: np.ndarray, doc:
         before = np.where(offset > 0, piece[np.maximum(starts - 1, 0)].astype(np.int64), -1 - np.arange(len(starts)))
         found = maximal_repeats(lcp, before, doc[frag], least)
         if found:
-            first, last, length, small = (np.array(x, np.int64) for x in zip(*found))
-            n = last - first + 1
-            at = ragged(first, n)
-            out.append((frag[at], offset[at], np.repeat(length, n), np.repeat(small, n)))
+            # A place needs a shorter repeat only if that one starts in a smaller doc than all longer ones there.
+            best, parts = np.full(len(frag), np.iinfo(np.int64).max), []
+            for first, last, length, small in found:
+                at = first + np.flatnonzero(best[first : last + 1] > small)
+                if len(at):
+                    best[at] = small
+                    parts.append((frag[at], offset[at], np.full(len(at), length), np.full(len(at), small)))
+            out += parts
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -231,11 +236,21 @@ def joined(table: pa.Table, name: str, dtype: str) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(b"".join(blobs), dtype), sizes
 
 
+def packed_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The texts of a batch (id, text, part) as a compressed row for each part."""
+    data, ends = utf8(batch.column(1))
+    sizes, ids = np.diff(ends), batch.column(0)
+    known, ids = ~ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+    compressor = zstandard.ZstdCompressor(level=3)
+    rows = [(p, known[i].tobytes(), ids[i].tobytes(), sizes[i].astype("<i8").tobytes(), compressor.compress(data[ragged(ends[i], sizes[i])].tobytes())) for p, i in by_bucket(batch.column(2).to_numpy())]
+    return packed(rows, ["part", "b_known", "b_ids", "b_sizes", "b_text"]).combine_chunks().to_batches()[0]
+
+
 def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, ends, ids, and which rows have an id."""
-    data, ends = utf8(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
-    ids = table.column("id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
-    return data, ends, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ~ids.is_null().to_numpy(zero_copy_only=False)
+    d = zstandard.ZstdDecompressor()
+    data = np.frombuffer(b"".join(d.decompress(x) for x in table.column("b_text").to_pylist()), np.uint8)
+    return data, np.concatenate([[0], np.cumsum(joined(table, "b_sizes", "<i8")[0])]), joined(table, "b_ids", "<i8")[0], joined(table, "b_known", "?")[0]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -243,7 +258,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = pick(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     _, total = checked_text_bytes(docs, "text")
     n_parts, n_buckets = max(8, total // PART_BYTES), max(8, total // BUCKET_BYTES)
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)))
+    docs = map_arrow(docs.withColumn("part", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_parts))), packed_texts, "part long, b_known binary, b_ids binary, b_sizes binary, b_text binary")
     gram = min(GRAM, min_bytes)
 
     def minima(key: tuple, table: pa.Table) -> pa.Table:
@@ -284,18 +299,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         owner = ids[text[order]]
         several = np.zeros(len(first), bool)
         several[np.unique(np.cumsum(new)[~new & np.append(False, owner[1:] != owner[:-1])[: len(order)]] - 1)] = True
-        out = []
+        out, compressor = [], zstandard.ZstdCompressor(level=3)
         for b, at in by_bucket((least[first] >> np.uint64(1)) % np.uint64(n_buckets)):
             i = first[at]
             sizes = count[i] + min_bytes - 1
-            out.append((b, key[0].as_py(), (sizes.astype("u2") | (several[at].astype("u2") << np.uint16(15))).tobytes(), ids[text[i]].tobytes(), data[ragged(start[i], sizes)].tobytes()))
+            out.append((b, key[0].as_py(), (sizes.astype("u2") | (several[at].astype("u2") << np.uint16(15))).tobytes(), ids[text[i]].tobytes(), compressor.compress(data[ragged(start[i], sizes)].tobytes())))
         return packed(out, ["bucket", "part", "b_sizes", "b_ids", "b_text"])
 
     def found(key: tuple, table: pa.Table) -> pa.Table:
         sizes, rows = joined(table, "b_sizes", "u2")
         several, sizes = sizes >> np.uint16(15) != 0, (sizes & np.uint16(0x7FFF)).astype(np.int64)
         part, ids = np.repeat(table.column("part").to_numpy(), rows), joined(table, "b_ids", "i8")[0]
-        data = joined(table, "b_text", "u1")[0]
+        d = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(d.decompress(x) for x in table.column("b_text").to_pylist()), np.uint8)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         hashed, least = np.empty(len(sizes), np.uint64), np.empty(len(sizes), np.uint64)
         lo = 0

@@ -131,9 +131,11 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 SCHEMA = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string", "masked": "string"}
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = tuple(SCHEMA)) -> DataFrame:
-    """Spans of secrets in each whole text: id_col and those of `outputs` asked for; `masked` is the text with the spans replaced (null stays null)."""
-    docs = pick(docs, id_col, text_col)
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = tuple(SCHEMA), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Spans of secrets in each whole text: id_col, those of `outputs` asked for, and the columns of `carry`; `masked` is the text with the spans replaced (null stays null)."""
+    docs = pick(docs, id_col, text_col, *[c for c in carry if c not in (id_col, text_col)])
+    own = [f for f in docs.schema.fields if f.name == id_col or f.name in carry]
+    at = [docs.columns.index(f.name) for f in own]
     arrow = {"long": pa.int64(), "string": pa.string()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,7 +148,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows["base_sha256"].append(hashlib.sha256(joined(plain).encode()).hexdigest())
             rows["spans"].append(joined(spans))
             rows["masked"].append(text if text is None or not spans or "masked" not in outputs else masked(text, spans))
-        return pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(rows[k], arrow[SCHEMA[k]]) for k in outputs], names=["id", *outputs])
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in at] + [pa.array(rows[k], arrow[SCHEMA[k]]) for k in outputs], names=[f"c{i}" for i in at] + list(outputs))
 
-    out = map_arrow(docs, run, ", ".join([f"id {docs.schema[0].dataType.simpleString()}"] + [f"{k} {SCHEMA[k]}" for k in outputs]))
-    return out.withColumnRenamed("id", id_col)
+    out = map_arrow(docs, run, ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in zip(at, own)] + [f"{k} {SCHEMA[k]}" for k in outputs]))
+    return out.toDF(*[f.name for f in own], *outputs)

@@ -9,7 +9,7 @@ Equal sets are one class from the start. Within a band's bucket no list of all p
 others are confirmed against it on the full sets, and what is confirmed becomes one component. Of a bucket that is still in
 several components, members outside its largest one are held against the others by exact filters inside the join:
 sizes, and bitmaps of the sets (each bit in which two differ is a shingle that only one of them has), so that only
-pairs near the threshold come out and are confirmed. Where even that would be much work, other leaders have a try, and
+pairs near the threshold come out, each from the first bucket that it shares, and are confirmed. Where even that would be much work, other leaders have a try, and
 then an exact prefix filter: similar sets share one of their rarest shingles (a quarter of the set and one). So a
 bucket's pairs of different components are all dealt with, whatever its size.
 
@@ -222,9 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             here = here.join(mixed.select("key", "major"), "key")
             last = left[1] <= FEW * n_reps or turn == leaders
         if last and left[1] <= FEW * n_reps:
-            here = written(here.join(bits, here.rep == bits.id).drop("id"), "here")
+            own = bits.join(classes.select(F.col("rep").alias("id"), "bands"), "id")
+            here = written(here.join(own, here.rep == own.id).drop("id"), "here")
             x, y = here.filter("component <> major").alias("x"), here.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_reach(F.col("x.n"), F.col("y.n"), percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_reach(F.col("x.n"), F.col("y.n"), percent) & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         elif last:
             pairs = rare_pairs(here.select("rep", "component").distinct(), texts, bits, percent)
         else:

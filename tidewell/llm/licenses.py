@@ -1,10 +1,10 @@
 """License scan: an exact set-similarity join of text blocks and license templates, in DataFrame operations alone.
 
 Short notices are sought in lines, long texts in paragraphs. A block meets a template if it holds at least THRESHOLD of the
-template's distinct words (stop words aside). Words are ordered by how many blocks of the corpus have them, rarest
-first. A template's prefix is its first size - need + 1 words: a block with the needed overlap has one of them. Blocks below the
-needed length are passed over, and so are pairs whose places of the shared word leave too few words on either side. What
-is left is compared in full, so the join loses nothing.
+template's distinct words (stop words aside). Words are ordered by how often the whole corpus has them, rarest
+first. A template's prefix is its first size - need + 1 words: a block with the needed overlap has one of them, so texts
+without any are not cut into blocks. Blocks below the needed length are passed over, and so are pairs whose places of the
+shared word leave too few words on either side. What is left is compared in full, so the join loses nothing.
 
 Beside that stand three phrases (mit license, apache license, general public license), found wherever their words stand
 consecutively.
@@ -16,12 +16,15 @@ columns play no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PARAGRAPH = r"\n[ \t\r]*\n"
 THRESHOLD = 0.8
 
@@ -60,13 +63,27 @@ def template_sets(templates: tuple = TEMPLATES) -> list[tuple[int, str, str, lis
     return out
 
 
-def template_table(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
-    """The templates as a table of literals."""
-    rows = ", ".join(f"({i}, '{label}', '{kind}', array({', '.join(repr(w) for w in words)}), {need})" for i, label, kind, words, need in template_sets(templates))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, kind, words, need)")
+def frequencies(low: DataFrame, templates: tuple = TEMPLATES) -> dict[str, int]:
+    """How often the corpus (a column `low` of lower-cased texts) has each word of the templates: as many numbers as they have words."""
+    vocabulary = sorted({w for t in template_sets(templates) for w in t[3]})
+    words = low.select(F.explode(F.split("low", SEPARATOR)).alias("word")).filter(F.col("word").isin(vocabulary))
+    got = {r.word: r.n for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {w: got.get(w, 0) for w in vocabulary}
+
+
+def ordered_templates(counts: dict[str, int], templates: tuple = TEMPLATES) -> list[tuple]:
+    """template_sets with words rarest first."""
+    return [(i, label, kind, sorted(words, key=lambda w: (counts[w], w)), need) for i, label, kind, words, need in template_sets(templates)]
+
+
+def template_table(spark: SparkSession, ordered: list[tuple]) -> DataFrame:
+    """A row for each prefix word of each template, as literals: template, label, kind, need, size, template_words, word, place (from 1)."""
+    rows = ", ".join(f"({i}, '{label}', '{kind}', {need}, {len(words)}, array({', '.join(repr(w) for w in words)}), '{words[k]}', {k + 1})" for i, label, kind, words, need in ordered for k in range(len(words) - need + 1))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, kind, need, size, template_words, word, place)")
 
 
 def words_of(text: Column) -> Column:
+    """All words, in order."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
@@ -87,42 +104,36 @@ def phrase_places(words: Column, phrase: str) -> Column:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES) -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word long, base_labels, labels string, score double (greatest share of a template found; 1 with a phrase)."""
-    spark, sets = docs.sparkSession, template_sets(templates)
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in sets for w in t[3]})])
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    spark = docs.sparkSession
+    low = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    counts = frequencies(low, templates)
+    sets = ordered_templates(counts, templates)
     least = {kind: min((t[4] for t in sets if t[2] == kind), default=1 << 30) for kind in ("line", "paragraph")}
+    vocabulary = F.array(*[F.lit(w) for w in sorted(counts)])
 
-    def blocks(parts: Column, kind: str) -> Column:
-        known = F.transform(parts, lambda p: F.array_intersect(F.array_distinct(p), vocabulary))
+    def blocks(kind: str, parts: Column) -> Column:
+        known = F.transform(parts, lambda p: F.array_intersect(words_of(p), vocabulary))
         return F.transform(F.filter(known, lambda k: F.size(k) >= least[kind]), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("words")))
 
-    lines = pick(docs, id_col, text_col).toDF("id", "text").select("id", low.alias("low"))
-    lines = lines.select("id", "low", F.transform(F.split("low", "\n"), words_of).alias("lines"))
-    # A paragraph's words are those of its lines; a blank line parts paragraphs.
-    paragraphs = F.transform(F.split("low", PARAGRAPH), words_of)
-    several = F.col("low").rlike(PARAGRAPH)
-    flat = F.flatten("lines")
-    places = F.when(F.contains("low", F.lit("license")), F.array(*[phrase_places(flat, p) for p, _ in PHRASES])).otherwise(F.array(*[F.array().cast("array<int>") for _ in PHRASES]))
-    rows = lines.select(
+    prefixes = sorted({w for _, _, _, words, need in sets for w in words[: len(words) - need + 1]}, key=lambda w: (counts[w], w))
+    may_meet = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in prefixes])
+    none = F.array().cast("array<struct<kind:string,words:array<string>>>")
+    places = F.when(F.contains("low", F.lit("license")), F.array(*[phrase_places(words_of(F.col("low")), p) for p, _ in PHRASES])).otherwise(F.array(*[F.array().cast("array<int>") for _ in PHRASES]))
+    rows = low.select(
         "id",
-        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
+        F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         places.alias("places"),
-        F.concat(blocks(F.col("lines"), "line"), blocks(F.when(several, paragraphs).otherwise(F.array(flat)), "paragraph")).alias("blocks"),
+        F.when(may_meet, F.concat(blocks("line", F.split("low", "\n")), blocks("paragraph", F.split("low", PARAGRAPH)))).otherwise(none).alias("blocks"),
     )
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    block = rows.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.kind", "b.words")
-    frequency = block.select("kind", F.explode("words").alias("word")).groupBy("kind", "word").agg(F.count(F.lit(1)).alias("df"))
-    known = template_table(spark, templates)
-    order = known.select("template", "label", "kind", "need", F.size("words").alias("size"), "words", F.explode("words").alias("word")).join(frequency, ["kind", "word"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    order = order.withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy("df", "word")))
-    prefix = order.filter(F.col("place") <= F.col("size") - F.col("need") + 1).select("template", "label", "kind", "need", "size", F.col("words").alias("template_words"), "word", "place")
-    # At most a template word for each word and kind: bounded by the templates.
-    ranks = F.broadcast(order.select("kind", "word", "df").distinct())
-    own = block.select("row", "block", "kind", "words", F.explode("words").alias("word")).join(ranks, ["kind", "word"])
-    ranked = own.groupBy("row", "block", "kind").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ordered"))
-    ranked = ranked.select("row", "block", "kind", "words", F.size("ordered").alias("have"), F.posexplode("ordered").alias("at", "o")).select("row", "block", "kind", "words", "have", (F.col("at") + 1).alias("at"), F.col("o.word").alias("word"))
-    pairs = ranked.join(F.broadcast(prefix), ["kind", "word"]).filter((F.col("have") >= F.col("need")) & (F.least("place", "at") + F.least(F.col("size") - F.col("place"), F.col("have") - F.col("at")) >= F.col("need")))
+    block = rows.filter(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.kind", "b.words")
+    # A block's known words in the same order as the templates'.
+    rank = F.create_map(*[x for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w))) for x in (F.lit(w), F.lit(i))])
+    ordered = block.withColumn("ordered", F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word")))))
+    ranked = ordered.select("row", "block", "kind", "words", F.size("ordered").alias("have"), F.posexplode("ordered").alias("at", "o")).select("row", "block", "kind", "words", "have", (F.col("at") + 1).alias("at"), F.col("o.word").alias("word"))
+    # The prefixes are as many as the templates have words: bounded.
+    pairs = ranked.join(F.broadcast(template_table(spark, sets)), ["kind", "word"]).filter((F.col("have") >= F.col("need")) & (F.least("place", "at") + F.least(F.col("size") - F.col("place"), F.col("have") - F.col("at")) >= F.col("need")))
     met = pairs.groupBy("row", "block", "template").agg(F.first("label").alias("label"), F.first("need").alias("need"), F.first("size").alias("size"), F.size(F.array_intersect(F.first("words"), F.first("template_words"))).alias("common")).filter("common >= need")
     labels = met.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("share"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, pick
 
 #: Pieces and token pairs that a Python worker remembers; beyond that the memory starts anew. Speed only.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: The byte-level pre-split. White space is that of Unicode, as in the tokenizer's own engine.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"

@@ -15,37 +15,54 @@ order of their coded bytes. An empty table gives a file set without blocks. Othe
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN
-from .common import BATCH_ROWS, map_arrow, pick, shared_dir
+from .common import BATCH_ROWS, map_arrow, pick, shared_dir, tidied
 
 #: Ids in a shard (a range of documents) and in a block of it, about.
 SHARD_IDS = 4_000_000
 BLOCK_IDS = 1_000_000
-REMEMBERED = 600_000
+#: Words in a generation of a Python worker's memory. Speed only.
+REMEMBERED = 400_000
+#: A blank beside other white space or at an end; a blank between other characters.
+UNSAFE = re.compile(r"^ | (?=\s)|\s(?= )| $")
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
-#: The four lengths that a control byte holds, and their sum.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-TOTALS = LENGTHS.sum(1)
+#: The four lengths that a control byte holds.
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
-def coded(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks below 2 ** 32. The last group of four is filled up with zeros, which have no data bytes of their own length: one each."""
-    r = np.zeros(-(-len(ranks) // 4) * 4, np.uint32)
-    r[: len(ranks)] = ranks
-    size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    control = ((size.reshape(-1, 4) - 1) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4) < size[:, None]
-    used[len(ranks) :] = False
-    return control.tobytes(), r.astype("<u4").view(np.uint8).reshape(-1, 4)[used].tobytes()
+def coded(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of the ranks (below 2 ** 32) of documents that follow each other, and where each document's end.
+
+    Each document begins a control byte; its last group of four may have fewer ids, which then have no data bytes.
+    """
+    groups = -(-sizes // 4)
+    ends = np.cumsum(sizes)
+    size = np.ones(len(ranks), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        more = ranks > limit
+        if not more.any():
+            break
+        size += more
+    first = np.cumsum(groups) * 4 - groups * 4
+    slot = np.zeros(int(groups.sum()) * 4, np.uint8)
+    slot[np.arange(len(ranks)) + np.repeat(first - (ends - sizes), sizes)] = size - 1
+    slot = slot.reshape(-1, 4)
+    control = slot[:, 0] | slot[:, 1] << 2 | slot[:, 2] << 4 | slot[:, 3] << 6
+    width = int(size.max(initial=1))
+    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width] if width > 2 else ranks.astype("<u2").view(np.uint8).reshape(-1, 2)
+    data = raw[np.arange(raw.shape[1]) < size[:, None]]
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], ends])]
+    return control, np.concatenate([[0], np.cumsum(groups)]), data, at
 
 
 def decoded(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -59,19 +76,23 @@ def decoded(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndar
     for k in (1, 2, 3):
         keep[((first + groups) * 4 - k)[spare >= k]] = False
     length = length[keep]
-    at = np.cumsum(length) - length
-    padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
-    out = padded[at].copy()
+    at = np.cumsum(length, dtype=np.int64) - length
+    out = data[at].astype(np.uint32)
     for j in (1, 2, 3):
-        more = length > j
-        if not more.any():
+        more = np.flatnonzero(length > j)
+        if not len(more):
             break
-        out[more] |= padded[at[more] + j] << np.uint32(8 * j)
+        out[more] |= data[at[more] + j].astype(np.uint32) << np.uint32(8 * j)
     return out
 
 
 class Encoder:
-    """The tokenizers library behind a memory of pre-split pieces: every piece is encoded by the library, once."""
+    """The tokenizers library behind a bounded memory of words: the library encodes every word, new ones many at a time.
+
+    A blank between two characters that are no white space always begins a pre-split piece, so texts can be cut there and a
+    word's ids do not depend on what stands around it. Texts that hold a special token's string are encoded whole.
+    Memory has two generations: words used since the older one was closed move on, the rest is forgotten.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,27 +101,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = regex.compile(PATTERN).findall
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.pieces: dict[str, bytes] = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """All words into the young generation; each stands for itself after a blank."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        new = words.difference(self.young)
+        held = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in held)
+        new = list(new.difference(held))
+        # Printable words without blanks hold no white space of any kind.
+        plain = [w for w in new if w.isprintable() and " " not in w] if self.line is not None else []
+        rest = set(new).difference(plain)
+        for lo in range(0, len(plain), 500):  # words without white space are lines of one text
+            part = plain[lo : lo + 500]
+            ids = self.tokenizer.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids
+            raw = array("I", ids).tobytes()
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.line).tolist()
+            if len(cuts) != len(part) - 1:
+                rest.update(part)
+                continue
+            at = 0
+            for w, cut in zip(part, [*cuts, len(ids)]):
+                self.young[w] = raw[4 * at : 4 * cut]
+                at = cut + 1
+        rest = list(rest)
+        self.young.update(zip(rest, self.library([" " + w for w in rest])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = []
-        for text in texts:
-            if self.apart and any(s in text for s in self.special):
-                split.append([p for part in self.apart(text) if part for p in ([part] if part in self.special else self.split(part))])
-            else:
-                split.append(self.split(text))
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
-        new = list({p for pieces in split for p in pieces if p not in self.pieces})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4") for pieces in split]
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        direct = dict(zip(whole, self.library([texts[i] for i in whole])))
+        cut = [[""] if i in direct else t.split(" ") if not UNSAFE.search(t) else BOUNDARY.split(t) for i, t in enumerate(texts)]
+        first = self.library([c[0] for c in cut])  # a text's first word has no blank before it
+        rest = [c[1:] for c in cut]
+        self.learn(set().union(*rest))
+        word = self.young.__getitem__
+        return [np.frombuffer(direct[i] if i in direct else b"".join([f, *map(word, c)]), "<u4") for i, (f, c) in enumerate(zip(first, rest))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -132,7 +177,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[None], [None], [None], [total.tobytes()]], kinds)], names=names)
 
     raw = f"{shared_dir(spark)}/ids"
-    docs.mapInArrow(encode, "id long, n_ids long, ids binary, counts binary").write.option("compression", "zstd").parquet(raw)
+    docs.mapInArrow(tidied(encode), "id long, n_ids long, ids binary, counts binary").write.option("compression", "lz4").parquet(raw)
     kept = spark.read.schema("id long, n_ids long, ids binary, counts binary").parquet(raw)
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,9 +189,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
     counted = map_arrow(kept.select("counts").filter(F.col("counts").isNotNull()), spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     order = [r.token for r in sorted(counted, key=lambda r: (-r.n, r.token))]
     spark.createDataFrame([(i, t) for i, t in enumerate(order)], "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")
-    rank = np.zeros(max(order, default=0) + 1, np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
     small = "<u2" if encoder_size(vocabulary, end_id) <= 1 << 16 else "<u4"
+    rank = np.zeros(max(order, default=0) + 1, small)
+    rank[order] = np.arange(len(order), dtype=small)
 
     rows = kept.filter(F.col("n_ids").isNotNull()).select("id", "n_ids", "ids")
     n_ids = rows.agg(F.sum("n_ids")).first()[0] or 0
@@ -154,32 +199,45 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
     cuts = np.array(sorted(set(rows.approxQuantile("id", [k / n_shards for k in range(1, n_shards)], 0.25 / n_shards) if n_shards > 1 and n_ids else [])), np.int64)
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = [coded(rank[np.frombuffer(x, small)]) for x in batch.column(2).to_pylist()]
+        sizes = batch.column(1).to_numpy()
+        raw = batch.column(2)
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        control, c, data, at = coded(rank[np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(small)], sizes)
+        control, data = control.tobytes(), data.tobytes()
+        pairs = [(control[a:b], data[x:y]) for a, b, x, y in zip(c[:-1].tolist(), c[1:].tolist(), at[:-1].tolist(), at[1:].tolist())]
         ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, ids, "right").astype(np.int64)), batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["shard", "id", "n_ids", "control", "data"])
 
     def block_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "block", "before", "n_ids", "known", "doc_ids", "sizes", "control", "data"]
-        held: list[tuple] = []
+        held: list[tuple] = []  # runs of rows: known, ids, sizes, control, data
         shard, block, before, n = -1, 0, 0, 0
 
         def full() -> pa.RecordBatch:
-            ids = [r[0] for r in held]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], pa.int64()) for x in (shard, block, before, n)]
-                + [pa.array([x], pa.binary()) for x in (np.array([i is not None for i in ids]).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([r[1] for r in held], "<u4").tobytes(), b"".join(r[2] for r in held), b"".join(r[3] for r in held))],
-                names=names,
-            )
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, block, before, n)] + [pa.array([b"".join(x)], pa.binary()) for x in zip(*held)], names=names)
+
+        def between(column: pa.Array, a: int, b: int) -> bytes:
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + a : column.offset + b + 1]
+            return column.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes() if column.buffers()[2] else b""
 
         for batch in batches:
-            for s, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and (s != shard or n >= BLOCK_IDS):
+            shards, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids = batch.column(1)
+            known, ids = ~ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            a = 0
+            while a < len(sizes):
+                if held and (shards[a] != shard or n >= BLOCK_IDS):
                     yield full()
                     block, before, held, n = block + 1, before + n, [], 0
-                if s != shard:
-                    shard, block, before = s, 0, 0
-                held.append(tuple(row))
-                n += row[1]
+                if shards[a] != shard:
+                    shard, block, before = int(shards[a]), 0, 0
+                # As many rows as the shard, the batch and the block leave room for, one at least.
+                room = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_IDS - n)) + 1
+                b = max(a + 1, min(room, int(np.searchsorted(shards, shard, "right")), len(sizes)))
+                held.append((known[a:b].tobytes(), ids[a:b].astype("<i8").tobytes(), sizes[a:b].astype("<u4").tobytes(), between(batch.column(3), a, b), between(batch.column(4), a, b)))
+                n += int(sizes[a:b].sum())
+                a = b
         if held:
             yield full()
 

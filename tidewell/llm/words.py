@@ -60,7 +60,7 @@ def bounds(data: np.ndarray, ends: np.ndarray, kind: str) -> tuple[np.ndarray, n
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word's bytes, from prefix sums over stretches of the data."""
     out = np.empty(len(starts), np.uint64)
     lo = 0

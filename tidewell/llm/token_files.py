@@ -22,19 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import BATCH_ROWS, map_arrow, pick, shared_dir, tidied
+from .words import ragged
 
 #: Ids in a shard (a range of documents) and in a block of it, about.
 SHARD_IDS = 4_000_000
 BLOCK_IDS = 1_000_000
-#: Words in a generation of a Python worker's memory. Speed only.
+#: Units in a generation of a Python worker's memory. Speed only.
 REMEMBERED = 400_000
-#: A blank beside other white space or at an end; a blank between other characters.
-UNSAFE = re.compile(r"^ | (?=\s)|\s(?= )| $")
-BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+#: White space of Unicode, as a class of Arrow's patterns.
+WHITE = r"\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 #: The four lengths that a control byte holds.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
@@ -87,11 +89,13 @@ def decoded(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memory of words: the library encodes every word, new ones many at a time.
+    """The tokenizers library behind a bounded memory of units: the library encodes each unit, once while it is remembered.
 
-    A blank between two characters that are no white space always begins a pre-split piece, so texts can be cut there and a
-    word's ids do not depend on what stands around it. Texts that hold a special token's string are encoded whole.
-    Memory has two generations: words used since the older one was closed move on, the rest is forgotten.
+    Units are cut where a pre-split piece always begins: before a blank or a line end between other characters, after that line
+    end, and around [.,!] that follow a letter and end a word. So a unit's ids do not depend on what stands around it. A
+    unit that is a single piece goes straight to the library's model, others through its whole pipeline; so do whole texts
+    in which white space meets white space or a special token's string stands.
+    Memory has two generations: units used since the older one was closed move on, the rest is forgotten.
     """
 
     def __init__(self, path: str):
@@ -103,49 +107,58 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        self.unsafe = "|".join(["\x00", f"[ \\n][{WHITE}]", f"[{WHITE}][ \\n]", "^ ", " $", *map(re.escape, self.special)])
+        self.letters = {b: chr(c) for b, c in ((b, ord(c)) for c, b in byte_alphabet().items())}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """All words into the young generation; each stands for itself after a blank."""
+    def learn(self, units: list[str]) -> list[bytes]:
+        """Ids of all units, which are in the young generation afterwards."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        new = words.difference(self.young)
-        held = new.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in held)
-        new = list(new.difference(held))
-        # Printable words without blanks hold no white space of any kind.
-        plain = [w for w in new if w.isprintable() and " " not in w] if self.line is not None else []
-        rest = set(new).difference(plain)
-        for lo in range(0, len(plain), 500):  # words without white space are lines of one text
-            part = plain[lo : lo + 500]
-            ids = self.tokenizer.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids
-            raw = array("I", ids).tobytes()
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.line).tolist()
-            if len(cuts) != len(part) - 1:
-                rest.update(part)
+        young, old = self.young, self.old
+        rest, tokenize, letters = [], self.tokenizer.model.tokenize, self.letters
+        for u in units:
+            if u in young:
                 continue
-            at = 0
-            for w, cut in zip(part, [*cuts, len(ids)]):
-                self.young[w] = raw[4 * at : 4 * cut]
-                at = cut + 1
-        rest = list(rest)
-        self.young.update(zip(rest, self.library([" " + w for w in rest])))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        direct = dict(zip(whole, self.library([texts[i] for i in whole])))
-        cut = [[""] if i in direct else t.split(" ") if not UNSAFE.search(t) else BOUNDARY.split(t) for i, t in enumerate(texts)]
-        first = self.library([c[0] for c in cut])  # a text's first word has no blank before it
-        rest = [c[1:] for c in cut]
-        self.learn(set().union(*rest))
-        word = self.young.__getitem__
-        return [np.frombuffer(direct[i] if i in direct else b"".join([f, *map(word, c)]), "<u4") for i, (f, c) in enumerate(zip(first, rest))]
+            if (known := old.get(u)) is not None:
+                young[u] = known
+            elif (u[1:] if u[:1] == " " else u).isalpha():
+                piece = "\u0120" + u[1:] if u[0] == " " and u.isascii() else u.encode().decode("latin-1").translate(letters)
+                young[u] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+            else:
+                rest.append(u)
+        young.update(zip(rest, self.library(rest)))
+        return [young[u] for u in units]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, and how many each has. Null counts as empty."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        odd = np.flatnonzero(pc.match_substring_regex(column, self.unsafe).to_numpy(zero_copy_only=False))
+        direct = self.library(column.take(pa.array(odd)).to_pylist())
+        if len(odd):
+            plain = np.ones(len(column), bool)
+            plain[odd] = False
+            column = pc.if_else(pa.array(plain), column, "")
+        marked = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
+        units = pc.split_pattern(pc.replace_substring_regex(marked, r"(\pL)([.,!]+)\x00", "\\1\0\\2\0"), "\0")
+        coded_units = units.flatten().dictionary_encode()
+        known = self.learn(coded_units.dictionary.to_pylist())
+        lengths = np.array([len(k) for k in known], np.int64) // 4
+        place = coded_units.indices.to_numpy()
+        each = lengths[place]
+        ids = np.frombuffer(b"".join(known), "<u4")[ragged((np.cumsum(lengths) - lengths)[place], each)]
+        cuts = units.offsets.to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(each)])[cuts - cuts[0]]
+        sizes = np.diff(ends)
+        if len(odd):
+            own = {int(i): np.frombuffer(d, "<u4") for i, d in zip(odd, direct)}
+            parts = [own[i] if i in own else ids[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -167,14 +180,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
         names, e = ["id", "n_ids", "ids", "counts"], encoder(vocabulary)
         total = np.zeros(max(e.size, end_id + 1), np.int64)
         small = "<u2" if len(total) <= 1 << 16 else "<u4"
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            ids = [np.append(x, np.uint32(end_id)) for x in e.encode([t or "" for t in batch.column(1).to_pylist()])]
-            if ids:
-                total += np.bincount(np.concatenate(ids), minlength=len(total))
-            columns = [batch.column(0), [len(x) for x in ids], [x.astype(small).tobytes() for x in ids], [None] * len(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(columns, kinds)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[None], [None], [None], [total.tobytes()]], kinds)], names=names)
+            ids, sizes = e.encode(batch.column(1))
+            ids = np.insert(ids.astype(small), np.cumsum(sizes), end_id)
+            total += np.bincount(ids, minlength=len(total))
+            sizes = sizes + 1
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.dtype(small).itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), blobs, pa.nulls(len(sizes), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
     raw = f"{shared_dir(spark)}/ids"
     docs.mapInArrow(tidied(encode), "id long, n_ids long, ids binary, counts binary").write.option("compression", "lz4").parquet(raw)

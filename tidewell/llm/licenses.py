@@ -118,8 +118,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefixes = sorted({w for _, _, _, words, need in sets for w in words[: len(words) - need + 1]}, key=lambda w: (counts[w], w))
     may_meet = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in prefixes])
     none = F.array().cast("array<struct<kind:string,words:array<string>>>")
-    places = F.when(F.contains("low", F.lit("license")), F.array(*[phrase_places(words_of(F.col("low")), p) for p, _ in PHRASES])).otherwise(F.array(*[F.array().cast("array<int>") for _ in PHRASES]))
-    rows = low.select(
+    # A column of its own: inside the search for places it would be made again for every word.
+    words = F.when(F.contains("low", F.lit("license")), words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
+    places = F.array(*[phrase_places(F.col("words"), p) for p, _ in PHRASES])
+    rows = low.select("id", "low", words.alias("words")).select(
         "id",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         places.alias("places"),

@@ -87,6 +87,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def count_words(text: Column) -> Column:
+    """How many words: the parts between separators, without the empty ones at either end."""
+    edge = lambda c: F.when(c.rlike(SEPARATOR), 1).otherwise(0)
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, SEPARATOR)) - edge(F.substring(text, 1, 1)) - edge(F.substring(text, -1, 1))).cast("long")
+
+
 def phrase_places(words: Column, phrase: str) -> Column:
     """Words at which the phrase starts, from 0."""
     parts = phrase.split()
@@ -123,7 +129,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = F.array(*[phrase_places(F.col("words"), p) for p, _ in PHRASES])
     rows = low.select("id", "low", words.alias("words")).select(
         "id",
-        F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
+        count_words(F.col("low")).alias("n_words"),
         places.alias("places"),
         F.when(may_meet, F.concat(blocks("line", F.split("low", "\n")), blocks("paragraph", F.split("low", PARAGRAPH)))).otherwise(none).alias("blocks"),
     )

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, pick, written
+from .minhash import shingle_sets
 
 FIT_ROWS = 40_000
-#: An entry must be in this share of toxic rows, and in five of them.
+#: An entry must be in this share of toxic rows, and in five of them, near copies counted once.
 LEAST_SHARE = 0.008
 #: Natural log of how much more often toxic rows must have an entry.
 LEAST_ODDS = 2.5
@@ -164,6 +165,17 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return written(pick(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn), "id").select("text", "label").filter(F.col("text").isNotNull()), "labelled")
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """Rows of text and label, of those with one label and one least shingle hash a single one: near copies would make their own words look telling."""
+
+    def least(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [int(s.min() >> np.uint64(1)) if len(s) else -1 - i for i, s in enumerate(shingle_sets(batch.column(0)))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["text", "label", "key"])
+
+    keyed = map_arrow(rows.select("text", "label"), least, "text string, label int, key long")
+    return written(keyed.groupBy("key", "label").agg(F.min("text").alias("text")).select("text", "label"), "distinct")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", fit_rows: int = FIT_ROWS) -> dict:
     """Lexicon with weights, exceptions, and the curve, from rows of text and 0/1 label."""
     rows = pick(labelled, text_col, label_col).toDF("text", "label").filter(F.col("text").isNotNull() & F.col("label").isin(0, 1)).withColumn("label", F.col("label").cast("int"))
@@ -177,6 +189,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
         n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
         if not n_toxic or n_toxic == n:
             return model
+    rows = one_of_copies(rows)
+    n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     n_clean = n - n_toxic
     least = max(5, int(LEAST_SHARE * n_toxic))
     seen = counted(rows.filter("label = 1"), beginnings, least)

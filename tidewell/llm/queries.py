@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, minhash, quality, repeats, secrets, token_files, toxicity
+from . import bpe, decontaminate, language, licenses, minhash, oracles, quality, repeats, secrets, token_files, toxicity
 from .common import crc_mod, shared_dir, table
 
 
@@ -68,4 +68,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_near_duplicates, op5_repeated_passages, op6_token_files, op7_bpe_round_trip, op8_decontaminate, op9_quality_rules, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.oracle(),
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op5_repeated_passages": oracles.REPEATS,
+    "op8_decontaminate": oracles.CONTAMINATION,
+}

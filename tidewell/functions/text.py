@@ -24,6 +24,35 @@ def unescape_html(c: Column) -> Column:
     return c
 
 
+# Fixed: what the bytes 80 to 9F show when read as Windows-1252, and those bytes as code points.
+SHOWN, MEANT = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ", "".join(map(chr, [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]))
+# Fixed stop words by which languages are told apart.
+STOP_WORDS = {"de": "der die das und ist nicht ein eine zu mit von den".split(), "en": "the of and to in that is for it with as was".split(), "es": "el los las que y en una para con por del se".split(), "fr": "le les des et une que dans est pour qui du au".split()}
+
+
+def repair_mojibake(c: Column) -> Column:
+    """UTF-8 that was read as Latin-1 or Windows-1252, undone once: only where every character is a byte and the bytes are valid UTF-8 with more than ASCII."""
+    narrow = F.translate(c, SHOWN, MEANT)
+    fits = narrow.rlike(r"^[\x00-\xFF]*$") & narrow.rlike(r"[\xC2-\xF4][\x80-\xBF]")
+    again = F.when(fits, F.encode(F.when(fits, narrow), "ISO-8859-1").cast("string"))
+    return F.when(fits & F.is_valid_utf8(again), again).otherwise(c)
+
+
+def one_of(values: list[str]):
+    return lambda w: w.isin(values)
+
+
+def guess_language(c: Column) -> Column:
+    """lang and share: the language with most stop words (first in order of names on ties), and its share of the stop words found; `unknown` and 0 without any."""
+    words = F.split(F.lower(c), r"[^\p{L}]+")
+    n = {k: F.size(F.filter(words, one_of(v))) for k, v in STOP_WORDS.items()}
+    best = F.greatest(*n.values())
+    total = sum(list(n.values())[1:], list(n.values())[0])
+    lang = F.coalesce(*[F.when(best == x, F.lit(k)) for k, x in n.items()])
+    none = c.isNull() | (best <= 0)
+    return F.struct(F.when(none, "unknown").otherwise(lang).alias("lang"), F.when(none, F.lit(0.0)).otherwise(best / total).alias("share"))
+
+
 def strip_html(c: Column) -> Column:
     """Entities undone, then tags replaced by a blank."""
     return _sub(unescape_html(c), "<[^>]+>", " ")

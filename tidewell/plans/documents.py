@@ -15,6 +15,22 @@ STRIPPED = f"regexp_replace({ENTITY_SQL}, '<[^>]+>', ' ', 'g')"
 
 
 
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def t1_repair_mojibake(spark, d):
+    """Texts broken by a wrong charset come back as they were."""
+    broken = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
+    return table(spark, d, "documents").select("doc_id", F.md5(X.repair_mojibake(broken)).alias("text_md5"))
+
+
+_N = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v)})))" for k, v in X.STOP_WORDS.items()}
+
+
+@query(f"WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents), n AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _N.items())} FROM w) SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'unknown' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS lang, CASE WHEN greatest(de, en, es, fr) = 0 THEN 0.0 ELSE round(greatest(de, en, es, fr) / (de + en + es + fr), 6) END::DOUBLE AS share FROM n")
+def t11_guess_language(spark, d):
+    g = X.guess_language(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", g.alias("g")).select("doc_id", "g.lang", rnd("g.share", "share"))
+
+
 @query(f"SELECT page_id, md5({STRIPPED}) AS plain_md5, length({STRIPPED}) AS n FROM pages")
 def t2_strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("plain_md5"), F.length(X.strip_html(F.col("html"))).cast("long").alias("n"))
@@ -163,6 +179,16 @@ def k1_with_predictions(spark, d):
     return V.with_predictions(docs, annotations(spark, d), "doc", "doc_id").select("doc_id", "lang", "model", "schema_version", "sentiment")
 
 
+@query(f"WITH {PREDS}, a AS (SELECT 'doc' AS source, pred_id, model, sentiment FROM preds UNION ALL SELECT 'page', pred_id, model, sentiment FROM preds WHERE pred_id < 100 UNION ALL SELECT 'thread', pred_id, model, sentiment FROM preds WHERE pred_id % 2 = 0) SELECT 'page' AS kind, page_id AS id, model, sentiment FROM pages LEFT JOIN a ON a.source = 'page' AND pred_id = page_id UNION ALL SELECT 'thread', conv_id, model, sentiment FROM conversations LEFT JOIN a ON a.source = 'thread' AND pred_id = conv_id WHERE turn = 0")
+def k2_other_sources(spark, d):
+    """The same view over pages and threads, each with its own annotations."""
+    a = annotations(spark, d).select("source", "pred_id", "model", "sentiment")
+    every = a.unionByName(a.filter("pred_id < 100").withColumn("source", F.lit("page"))).unionByName(a.filter("pred_id % 2 = 0").withColumn("source", F.lit("thread")))
+    pages = V.with_predictions(table(spark, d, "pages").select("page_id"), every, "page", "page_id").withColumnRenamed("page_id", "id")
+    posts = V.with_predictions(table(spark, d, "conversations").filter("turn = 0").select("conv_id"), every, "thread", "conv_id").withColumnRenamed("conv_id", "id")
+    return pages.withColumn("kind", F.lit("page")).unionByName(posts.withColumn("kind", F.lit("thread"))).select("kind", "id", "model", "sentiment")
+
+
 @query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def k3_enriched(spark, d):
     return V.enriched(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")

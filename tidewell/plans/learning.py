@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import models as M, panel as P, splits as S, views as V
-from ..sources.tables import overwrite, read_query
+from ..sources.tables import overwrite, read_pages, read_query
 from ..streaming import streams as T
 from .base import DAILY, daily_bars, query, rnd, sql_rnd, sql_stamp, stamp, table
 
@@ -135,3 +136,40 @@ def t18_lag_names(spark, d):
 def o5_top_comments(spark, d):
     c = table(spark, d, "conversations").filter("turn > 0")
     return V.top_per_group(c, ["conv_id"], [F.length("text").desc(), F.col("turn")], 5).select("conv_id", "turn")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, value AS c FROM events")
+def s1_paged_bars(spark, d):
+    """Events dealt out into token-linked JSON pages of 20, written and read again; a stray page is left out."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    numbered = table(spark, d, "events").withColumn("page", F.floor((F.row_number().over(w) - 1) / 20))
+    token = lambda p: F.when(p == 0, "first").otherwise(F.concat(F.lit("p"), p.cast("string")))
+    pages = numbered.groupBy("user_id", "page").agg(F.collect_list(F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("t"), F.col("value").alias("c"))).alias("bars"))
+    last = F.max("page").over(Window.partitionBy("user_id"))
+    linked = pages.select(F.col("user_id").cast("string").alias("symbol"), token(F.col("page")).alias("token"), F.when(F.col("page") < last, token(F.col("page") + 1)).alias("next_page_token"), "bars")
+    stray = spark.sql("SELECT '1' AS symbol, 'lost' AS token, CAST(NULL AS STRING) AS next_page_token, array(named_struct('t', 'never', 'c', 0.0D)) AS bars")
+    path = f"{_shared(spark)}/pages"
+    linked.unionByName(stray).write.json(path)
+    return read_pages(spark, path)
+
+
+LOSSES = "h AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events)"
+
+
+@query(f"WITH {LOSSES}, b AS (SELECT *, max(v) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h), i AS (SELECT *, max(CASE WHEN before IS NULL OR v > before THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch) AS best_epoch FROM b) SELECT user_id, epoch, best_epoch, epoch - best_epoch AS waited FROM i")
+def w22_best_so_far(spark, d):
+    """Epochs since a score was last improved on: what early stopping counts."""
+    w = Window.partitionBy("user_id").orderBy("epoch")
+    h = table(spark, d, "events").withColumn("epoch", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    before = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    improved = h.withColumn("up", F.when(before.isNull() | (F.col("value") > before), F.col("epoch")))
+    return improved.withColumn("best_epoch", F.max("up").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("user_id", "epoch", "best_epoch", (F.col("epoch") - F.col("best_epoch")).alias("waited"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('c', 2), ('b', 3)) t(run, place)")
+def o8_leaderboard_order(spark, d):
+    """Runs by the first listed metric that any of them has; runs without it come last."""
+    runs = spark.sql("SELECT * FROM VALUES ('a', CAST(NULL AS DOUBLE), 0.1D), ('b', NULL, NULL), ('c', NULL, 0.3D) AS t(run, rmse, mae)")
+    there = runs.agg(*[F.count(c).alias(c) for c in ("rmse", "mae")]).first()
+    by = next(c for c in ("rmse", "mae") if there[c])
+    return runs.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).asc_nulls_last(), "run"))).select("run", "place")

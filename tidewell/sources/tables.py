@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_query(spark: SparkSession, sql: str, **args) -> DataFrame:
@@ -34,3 +35,13 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+PAGE = "symbol string, token string, next_page_token string, bars array<struct<t:string,c:double>>"
+
+
+def read_pages(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
+    """Rows of token-linked JSON pages on any store that Spark reads. Pages are read side by side; those that no other page of their symbol names are left out, unless they are first."""
+    pages = spark.read.schema(schema).json(path)
+    named = pages.filter("next_page_token IS NOT NULL").select("symbol", F.col("next_page_token").alias("token")).unionByName(pages.select("symbol").distinct().withColumn("token", F.lit("first")))
+    return pages.join(named.distinct(), ["symbol", "token"], "left_semi").select("symbol", F.explode("bars").alias("bar")).select("symbol", "bar.*")

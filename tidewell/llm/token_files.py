@@ -34,7 +34,7 @@ from .words import ragged
 SHARD_IDS = 4_000_000
 BLOCK_IDS = 1_000_000
 #: Units in a generation of a Python worker's memory. Speed only.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: White space of Unicode, as a class of Arrow's patterns.
 WHITE = r"\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -120,19 +120,22 @@ class Encoder:
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
+        known = list(map(young.get, units))
         rest, tokenize, letters = [], self.tokenizer.model.tokenize, self.letters
-        for u in units:
-            if u in young:
+        for i, ids in enumerate(known):
+            if ids is not None:
                 continue
-            if (known := old.get(u)) is not None:
-                young[u] = known
-            elif (u[1:] if u[:1] == " " else u).isalpha():
+            u = units[i]
+            if (ids := old.get(u)) is None:
+                if not (u[1:] if u[:1] == " " else u).isalpha():
+                    rest.append(i)
+                    continue
                 piece = "\u0120" + u[1:] if u[0] == " " and u.isascii() else u.encode().decode("latin-1").translate(letters)
-                young[u] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-            else:
-                rest.append(u)
-        young.update(zip(rest, self.library(rest)))
-        return [young[u] for u in units]
+                ids = array("I", [t.id for t in tokenize(piece)]).tobytes()
+            young[u] = known[i] = ids
+        for i, ids in zip(rest, self.library([units[i] for i in rest])):
+            young[units[i]] = known[i] = ids
+        return known
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, and how many each has. Null counts as empty."""
@@ -147,7 +150,7 @@ class Encoder:
         units = pc.split_pattern(pc.replace_substring_regex(marked, r"(\pL)([.,!]+)\x00", "\\1\0\\2\0"), "\0")
         coded_units = units.flatten().dictionary_encode()
         known = self.learn(coded_units.dictionary.to_pylist())
-        lengths = np.array([len(k) for k in known], np.int64) // 4
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         place = coded_units.indices.to_numpy()
         each = lengths[place]
         ids = np.frombuffer(b"".join(known), "<u4")[ragged((np.cumsum(lengths) - lengths)[place], each)]
@@ -174,7 +177,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
     """Encode every whole text, append end_id, and write the file set to `path` (blocks, and ranks beside them)."""
     docs = pick(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * BATCH_ROWS))  # a batch's repeated units are looked up once
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, e = ["id", "n_ids", "ids", "counts"], encoder(vocabulary)

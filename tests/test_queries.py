@@ -47,5 +47,6 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["timestamp", "n", "ic", "rank_ic", "spread"]
+    flagship = entry.entry(spark)
+    assert flagship.columns == ["timestamp", "n", "ic", "rank_ic", "spread"] and flagship.count()
     assert set(entry.oracle_sql()) <= set(entry.queries())

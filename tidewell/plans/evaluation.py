@@ -22,10 +22,14 @@ def _pred(spark, d, horizon=1):
 
 @query(f"WITH {PRED}, {IC.format(20)}, {SPREAD} SELECT {sql_stamp('timestamp')}, ic.n, {sql_rnd('ic')}, {sql_rnd('rank_ic')}, round(top - bottom, 6) + 0.0 AS spread FROM ic JOIN spread USING (timestamp)")
 def q_daily_ic_flagship(spark, d):
-    """Daily correlation, rank correlation and quantile spread of a momentum signal."""
+    return flagship(spark, d)
+
+
+def flagship(spark, d, least=20, q=0.1):
+    """Daily correlation, rank correlation and quantile spread of a momentum signal, on days with at least `least` symbols."""
     p = _pred(spark, d)
-    ic = E.daily_ic(p, least=20)
-    return ic.join(E.quantile_spread(p).select("timestamp", "spread"), "timestamp").select(stamp("timestamp"), "n", rnd("ic"), rnd("rank_ic"), rnd("spread"))
+    ic = E.daily_ic(p, least=least)
+    return ic.join(E.quantile_spread(p, q, least).select("timestamp", "spread"), "timestamp").select(stamp("timestamp"), "n", rnd("ic"), rnd("rank_ic"), rnd("spread"))
 
 
 @query(f"WITH {PRED}, {IC.format(2)} SELECT {sql_stamp('timestamp')}, n, {sql_rnd('ic')}, {sql_rnd('rank_ic')} FROM ic")

@@ -140,6 +140,14 @@ def test_text_cases(spark):
     assert one(text.strip_html(F.lit("a &lt;b&gt; <i>c</i>&amp;lt;"))) == "a    c &lt;"
     assert one(text.remove_control(F.lit("a​b&]c[]]^d\x00e\nf"))) == "ab&]c[]]^de\nf"
     assert one(text.remove_control(F.lit("a​b&]c"), compat=True)) == "a​bc"
+    import html
+
+    for t in ("&#233;&#x1F600;&eacute;&eacutex &amp;lt; &lt &nope; &#0; & &#xD800;", "no entity", "a&copy b&notit;", "&&amp;&"):
+        assert one(text.unescape_html(F.lit(t))) == html.unescape(t)
+    assert one(text.replace_urls(F.lit("a HTTP://www.x.co.uk/1?q b ftp://y.org"), "domain_token")) == "a X.CO.UK_TOKEN b Y.ORG_TOKEN"
+    assert one(text.replace_urls(F.lit("no link"), "domain_visible")) == "no link"
+    assert one(text.strip_emoji(F.lit("1\ufe0f\u20e3 a\u2192b \u2764\ufe0f"))) == "1 a\u2192b "
+    assert one(text.tickers(F.lit("$tsla nyse:ge (AAPL) x$MSFT IBM US"), ["TSLA", "GE", "AAPL", "MSFT", "IBM", "US"])) == ["AAPL", "GE", "IBM", "MSFT", "TSLA"]
     assert one(text.limit_elongation(text.limit_punctuation(F.lit("cooooool!!!!!! ok")))) == "coool!!! ok"
     assert one(text.replace_mentions(F.lit("hi @bob and user@mail"))) == "hi @USER and user@USER"
     assert one(text.strip_emoji(F.lit("a\U0001f44d\U0001f3fdb"))) == "ab"
@@ -166,7 +174,7 @@ def test_payload_edges(spark):
     rows = [(1, '{"date":"","calendarYear":"2020","x":"nan","y":1,"z":9}'), (2, '[{"date":"2021-02-03","x":true},{"y":"abc"}]'), (3, "5"), (4, None)]
     df = spark.createDataFrame(rows, "id int, raw string").withColumn("day", F.lit("2024-01-01").cast("date"))
     got = {(r.id, str(r.asof_date), r.feature): r.value for r in payload.unpivot(df, ["id"], "raw", payload.endpoint_prefix(F.lit("/a/key-metrics")), ["x", "y"], "day").collect()}
-    assert got == {(1, "2020-12-31", "key_metrics.x"): None, (1, "2020-12-31", "key_metrics.y"): 1.0, (2, "2021-02-03", "key_metrics.x"): 1.0, (2, "2024-01-01", "key_metrics.y"): None}
+    assert got == {(1, "2020-01-01", "key_metrics.y"): 1.0, (2, "2021-02-03", "key_metrics.x"): 1.0}
 
 
 def test_views(spark):

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .scalar import to_number
 
 
+# Fixed features of each endpoint that are kept.
+FEATURE_KEYS = {
+    "profile": "price beta volAvg mktCap lastDiv isEtf isFund isActivelyTrading".split(),
+    "ratios": "currentRatio quickRatio cashRatio debtRatio debtEquityRatio interestCoverage grossProfitMargin operatingProfitMargin netProfitMargin returnOnAssets returnOnEquity priceEarningsRatio priceToBookRatio priceToSalesRatio priceToFreeCashFlowsRatio dividendYield enterpriseValueMultiple priceFairValue".split(),
+    "key_metrics": "marketCap enterpriseValue peRatio pbRatio pfcfRatio pocfratio evToSales enterpriseValueOverEBITDA evToOperatingCashFlow evToFreeCashFlow earningsYield freeCashFlowYield netDebtToEBITDA debtToEquity currentRatio interestCoverage revenuePerShare netIncomePerShare operatingCashFlowPerShare freeCashFlowPerShare bookValuePerShare tangibleBookValuePerShare capexPerShare dividendYield payoutRatio".split(),
+    "key_metrics_ttm": "peRatioTTM pbRatioTTM pfcfRatioTTM pocfratioTTM enterpriseValueOverEBITDATTM freeCashFlowYieldTTM earningsYieldTTM revenuePerShareTTM netIncomePerShareTTM operatingCashFlowPerShareTTM freeCashFlowPerShareTTM dividendYieldTTM payoutRatioTTM peRatio pbRatio pfcfRatio pocfratio enterpriseValueOverEBITDA freeCashFlowYield earningsYield revenuePerShare netIncomePerShare operatingCashFlowPerShare freeCashFlowPerShare dividendYield payoutRatio".split(),
+}
+
+
 def objects(payload: Column) -> Column:
     """An object as an array of one map, an array as its objects, anything else as an empty array; values as text."""
     t = F.trim(payload)
@@ -23,12 +32,12 @@ def endpoint_prefix(path: Column) -> Column:
 
 
 def unpivot(snapshots: DataFrame, keys: list[str], payload: str, prefix: Column, wanted: list[str], fetched: str) -> DataFrame:
-    """keys, asof_date, feature (`prefix.key`), value of the wanted keys of each object. The date is the object's date, report date, year's end, or the fetch date."""
+    """keys, asof_date, feature (`prefix.key`), value of the wanted keys of each object. The date is the object's date, report date, calendar year (its first day), or the fetch date. Values that are no number are left out."""
     rows = snapshots.select(*keys, F.col(fetched).alias("__f"), prefix.alias("__p"), F.explode(objects(F.col(payload))).alias("m"))
     m = lambda k: F.nullif(F.trim(F.try_element_at("m", F.lit(k))), F.lit(""))
-    asof = F.coalesce(F.substring(m("date"), 1, 10).try_cast("date"), F.substring(m("reportedDate"), 1, 10).try_cast("date"), F.concat(m("calendarYear"), F.lit("-12-31")).try_cast("date"), F.col("__f").cast("date"))
+    asof = F.coalesce(F.substring(m("date"), 1, 10).try_cast("date"), F.substring(m("reportedDate"), 1, 10).try_cast("date"), F.concat(m("calendarYear"), F.lit("-01-01")).try_cast("date"), F.col("__f").cast("date"))
     long = rows.select(*keys, asof.alias("asof_date"), "__p", F.explode("m").alias("k", "v")).filter(F.col("k").isin(wanted))
-    return long.select(*keys, "asof_date", F.concat_ws(".", "__p", "k").alias("feature"), to_number(F.col("v")).alias("value"))
+    return long.select(*keys, "asof_date", F.concat_ws(".", "__p", "k").alias("feature"), to_number(F.col("v")).alias("value")).filter("value IS NOT NULL")
 
 
 OUTPUT = "sentiment string, confidence int, relevance int, explanation string, tickers array<string>, scope string, evidence array<string>"

@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+from functools import cache
+from html.entities import html5
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed entities that web text holds most; numeric ones have a rule of their own.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&"}
-# Fixed ranges of pictographs, flags, skin tones, joiners and variation selectors.
-EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{2190}-\\x{21FF}\\x{1F1E6}-\\x{1F1FF}\\x{FE0F}\\x{200D}\\x{20E3}]+"
-URL = r"(?i)\b(?:https?|ftp)://\S+"
-AMBIGUOUS = ("A", "ALL", "AM", "AN", "ARE", "AT", "BE", "BIG", "CAN", "CEO", "DD", "EPS", "ETF", "FOR", "GDP", "GO", "HAS", "IPO", "IT", "ON", "OR", "SO", "THE", "USA", "USD")
+#: Named entities of HTML, from the standard library's table: those with a semicolon, and the old ones that go without.
+NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+OLD = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+@cache
+def emoji_class() -> str:
+    """A character class of pictographs, emoji shown as such, skin tones and the variation selector, from the Unicode properties that the `regex` package knows."""
+    hit = regex.compile(r"\p{Extended_Pictographic}|\p{Emoji_Presentation}|\p{Emoji_Modifier}|\uFE0F").match
+    points = [i for i in range(0x80, 0x20000) if hit(chr(i))]
+    runs = [[points[0], points[0]]]
+    for i in points[1:]:
+        if i == runs[-1][1] + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+URL = r"(?i)(?:https?|ftp)://\S+"
+# Fixed capital words that are tickers and words alike.
+AMBIGUOUS = ("ON", "IT", "OR", "IN", "AS", "AT", "AN", "BE", "BY", "US", "WE")
+# Fixed forms of explicit tickers.
+DOLLAR = r"(?<![A-Za-z0-9_])\$([A-Za-z]{1,6})(?![A-Za-z0-9_])"
+DOLLAR_UPPER = r"(?<![A-Za-z0-9_])\$([A-Z]{1,6})(?![A-Za-z0-9_])"
+EXCHANGE = r"(?i)\b(?:NASDAQ|NYSE|AMEX)\s*:\s*([A-Za-z]{1,6})\b"
+PARENTHESES = r"\(([A-Z]{1,6})\)"
+CAPITALS = r"\b[A-Z]{2,6}\b"
 
 
 def _sub(c: Column, pattern: str, to: str) -> Column:
@@ -18,10 +44,28 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """Named entities; `&amp;` last, so that nothing is unescaped twice."""
-    for k, v in ENTITIES.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+    """Named, decimal and hexadecimal entities, each once and none twice. Code points that do not exist become U+FFFD."""
+    table = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+    old = F.create_map(*[F.lit(x) for k in OLD for x in (k, html5[k])])
+
+    def point(n: Column) -> Column:
+        good = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, n)), 8, "0")), "UTF-32")).otherwise("\uFFFD")
+
+    def entity(p: Column) -> Column:
+        dec, hexa = F.regexp_extract(p, r"^#([0-9]{1,9});?", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,7});?", 1)
+        name, bare = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(p, f"^({'|'.join(OLD)})", 1)
+        rest = lambda pattern: F.regexp_replace(p, F.lit(pattern), F.lit(""))
+        return (
+            F.when(dec != "", F.concat(point(F.nullif(dec, F.lit("")).cast("long")), rest(r"^#[0-9]{1,9};?")))
+            .when(hexa != "", F.concat(point(F.conv(hexa, 16, 10).cast("long")), rest(r"^#[xX][0-9a-fA-F]{1,7};?")))
+            .when(F.try_element_at(table, name).isNotNull(), F.concat(F.try_element_at(table, name), F.substring(p, F.length(name) + 1, F.length(p))))
+            .when(bare != "", F.concat(F.try_element_at(old, bare), F.substring(p, F.length(bare) + 1, F.length(p))))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    parts = F.split(c, "&")
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), entity), ""))).otherwise(c)
 
 
 # Fixed: what the bytes 80 to 9F show when read as Windows-1252, and those bytes as code points.
@@ -76,13 +120,15 @@ def domain(url: Column) -> Column:
 
 
 def replace_urls(c: Column, mode: str = "token") -> Column:
-    """token: <URL>; domain_token: <URL:host>; domain: [host]; keep."""
+    """token: URL; domain_token: EXAMPLE.COM_TOKEN; domain_visible: [example.com]; keep. Domains as `domain` has them."""
     if mode == "keep":
         return c
     if mode == "token":
-        return _sub(c, URL, "<URL>")
-    shape = {"domain_token": "<URL:$1>", "domain": "[$1]"}[mode]
-    return _sub(c, r"(?i)\b(?:https?|ftp)://(?:www\.)?([^/\s?#:]+)\S*", shape)
+        return _sub(c, URL, "URL")
+    shape = {"domain_token": lambda d: F.concat(F.upper(d), F.lit("_TOKEN")), "domain_visible": lambda d: F.concat(F.lit("["), d, F.lit("]"))}[mode]
+    # What stands between URLs, and the URLs, in turn.
+    between, urls = F.split(c, URL), F.regexp_extract_all(c, F.lit(URL), F.lit(0))
+    return F.when(c.isNotNull(), F.array_join(F.flatten(F.transform(between, lambda t, i: F.array(t, F.when(i < F.size(urls), shape(domain(F.get(urls, i)))).otherwise("")))), ""))
 
 
 def replace_mentions(c: Column, mode: str = "token") -> Column:
@@ -90,7 +136,8 @@ def replace_mentions(c: Column, mode: str = "token") -> Column:
 
 
 def strip_emoji(c: Column) -> Column:
-    return _sub(c, EMOJI, "")
+    """Pictographs and what belongs to them; the digit of a keycap stays."""
+    return _sub(_sub(c, r"([0-9])\x{FE0F}?\x{20E3}", "$1"), emoji_class(), "")
 
 
 def limit_punctuation(c: Column, most: int = 3) -> Column:
@@ -98,7 +145,7 @@ def limit_punctuation(c: Column, most: int = 3) -> Column:
 
 
 def limit_elongation(c: Column, most: int = 3) -> Column:
-    return _sub(c, rf"(\p{{L}})\1{{{most},}}", "$1" * most)
+    return _sub(c, rf"(.)\1{{{most},}}", "$1" * most)
 
 
 def clean_for_models(c: Column) -> Column:
@@ -122,23 +169,23 @@ def content_hash(c: Column) -> Column:
 
 
 def tickers(c: Column, universe: list[str] | None, aliases: dict[str, str] | None = None, bare: bool = True, ambiguous: tuple[str, ...] = AMBIGUOUS) -> Column:
-    """Sorted distinct symbols: $X, EXCHANGE:X and (X) as explicit, capital words as bare, alias phrases. Without a universe only explicit forms count, unchecked."""
-    explicit = F.array_union(F.array_union(F.regexp_extract_all(c, F.lit(r"\$([A-Z]{1,5})\b"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"\b(?:NYSE|NASDAQ|AMEX)\s*:\s*([A-Z]{1,5})\b"), F.lit(1))), F.regexp_extract_all(c, F.lit(r"\(([A-Z]{1,5})\)"), F.lit(1)))
-    if not universe:
-        return F.array_sort(explicit)
-    known = F.array(*[F.lit(u) for u in universe])
-    found = F.array_intersect(explicit, known)
-    if bare:
-        words = F.array_except(F.regexp_extract_all(c, F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)), F.array(*[F.lit(a) for a in ambiguous]))
-        found = F.array_union(found, F.array_intersect(words, known))
+    """Sorted distinct symbols: $X, EXCHANGE:X and (X) as explicit, capital words as bare, alias phrases. Without a universe nothing is checked against it and bare words do not count."""
+    take = lambda pattern: F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.upper)
+    found = F.array_union(F.array_union(take(DOLLAR), take(EXCHANGE)), take(PARENTHESES))
     for phrase, symbol in (aliases or {}).items():
-        found = F.array_union(found, F.when(F.lower(c).rlike(rf"\b{phrase.lower()}\b"), F.array(F.lit(symbol))).otherwise(F.array().cast("array<string>")))
+        found = F.array_union(found, F.when(F.lower(c).rlike(rf"\b\Q{phrase.lower()}\E\b"), F.array(F.lit(symbol))).otherwise(F.array().cast("array<string>")))
+    if universe:
+        known = F.array(*[F.lit(u) for u in universe])
+        found = F.array_intersect(found, known)
+        if bare:
+            words = F.array_except(F.regexp_extract_all(c, F.lit(CAPITALS), F.lit(0)), F.array(*[F.lit(a) for a in ambiguous]))
+            found = F.array_union(found, F.array_intersect(words, known))
     return F.array_sort(found)
 
 
 def explicit_tickers(c: Column, most: int = 10) -> Column:
     """$X in order of appearance, each once."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\$([A-Z]{1,5})\b"), F.lit(1))), 1, most)
+    return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(DOLLAR_UPPER), F.lit(1))), 1, most)
 
 
 def shorten(c: Column, most: int, mark: str = "") -> Column:

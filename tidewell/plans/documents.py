@@ -8,8 +8,10 @@ from ..functions import payload as J, scalar, text as X
 from ..operators import gaps as G, upsert as U, views as V
 from .base import DAILY, daily_bars, pred_sql, predictions, query, rnd, sql_rnd, sql_stamp, stamp, table
 
+# Fixed entities that the test pages hold; `&amp;` last, so that nothing is unescaped twice.
+_ENTITIES = {"&nbsp;": "\u00a0", "&copy;": "\u00a9", "&middot;": "\u00b7", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 ENTITY_SQL = "html"
-for _k, _v in X.ENTITIES.items():
+for _k, _v in _ENTITIES.items():
     ENTITY_SQL = f"replace({ENTITY_SQL}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
 STRIPPED = f"regexp_replace({ENTITY_SQL}, '<[^>]+>', ' ', 'g')"
 
@@ -47,10 +49,10 @@ def t4_collapse_space(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.collapse_space(F.col("text"))).alias("clean_md5"))
 
 
-@query("SELECT page_id, regexp_replace('see ' || url || ' now', '(?i)\\b(?:https?|ftp)://\\S+', '<URL>', 'g') AS token, regexp_replace('see ' || url || ' now', '(?i)\\b(?:https?|ftp)://(?:www\\.)?([^/\\s?#:]+)\\S*', '[\\1]', 'g') AS host FROM pages")
+@query("SELECT page_id, 'see URL now' AS token, 'see [' || regexp_extract(lower(regexp_extract(url, '^[a-z]+://[^/?#]+')), '([^./]+\\.[^./]+)$', 1) || '] now' AS visible, 'see ' || upper(regexp_extract(lower(regexp_extract(url, '^[a-z]+://[^/?#]+')), '([^./]+\\.[^./]+)$', 1)) || '_TOKEN now' AS domain_token FROM pages")
 def t5_replace_urls(spark, d):
     c = F.concat(F.lit("see "), F.col("url"), F.lit(" now"))
-    return table(spark, d, "pages").select("page_id", X.replace_urls(c).alias("token"), X.replace_urls(c, "domain").alias("host"))
+    return table(spark, d, "pages").select("page_id", X.replace_urls(c).alias("token"), X.replace_urls(c, "domain_visible").alias("visible"), X.replace_urls(c, "domain_token").alias("domain_token"))
 
 
 @query("SELECT regexp_extract(lower(url), '([^./]+\\.[^./]+)(?:[/?#:].*)?$', 1) AS domain, count(*) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://[^/?#]+') AS url FROM pages) GROUP BY 1")
@@ -134,9 +136,9 @@ def j1_payload_objects(spark, d):
     return table(spark, d, "events").select("event_id", F.size(J.objects(raw)).alias("n"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN DATE '2024-01-05' WHEN 1 THEN DATE '2023-02-03' WHEN 2 THEN DATE '2022-12-31' ELSE CAST(ts AS DATE) END AS asof_date FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN DATE '2024-01-05' WHEN 1 THEN DATE '2023-02-03' WHEN 2 THEN DATE '2022-01-01' ELSE CAST(ts AS DATE) END AS asof_date FROM events")
 def j3_asof_fallback(spark, d):
-    raw = F.element_at(F.array(F.lit('{"date":"2024-01-05 10:00","v":"1"}'), F.lit('{"date":"","reportedDate":"2023-02-03","v":"1"}'), F.lit('{"calendarYear":"2022","v":"1"}'), F.lit('{"v":"nan"}')), (F.col("event_id") % 4 + 1).cast("int"))
+    raw = F.element_at(F.array(F.lit('{"date":"2024-01-05 10:00","v":"1"}'), F.lit('{"date":"","reportedDate":"2023-02-03","v":"1"}'), F.lit('{"calendarYear":"2022","v":"1"}'), F.lit('{"v":"3"}')), (F.col("event_id") % 4 + 1).cast("int"))
     snaps = table(spark, d, "events").select("event_id", raw.alias("raw"), F.to_date("ts").alias("day"))
     return J.unpivot(snaps, ["event_id"], "raw", F.lit("p"), ["v"], "day").select("event_id", "asof_date")
 

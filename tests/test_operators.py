@@ -86,7 +86,13 @@ def test_split_errors(spark):
     with pytest.raises(ValueError):
         splits.split_targets(meta.limit(2))
     with pytest.raises(ValueError):
-        splits.walk_back(10, 5, 3, 4)
+        splits.walk_boundaries(10, 5, 3, 4)
+    with pytest.raises(ValueError):
+        splits.walk_plan(30, 5, 5, 5, 20, 0, 15)
+    assert splits.walk_plan(60, 5, 5, 10, None, 2, 20) == [{"fold": k, "s": 0, "e": v - 2, "v": v, "w": v + 5} for k, v in enumerate((25, 30, 35, 40, 45), 1)]
+    with pytest.raises(ValueError):
+        splits.walk_forward(30, None, 3, 3, 5, 10, 2)
+    assert [(f["train_first"], f["train_last"], f["val_first"]) for f in splits.walk_forward(30, None, 3, 3, 5, 10)] == [(0, 9, 10), (0, 14, 15), (0, 19, 20)]
     got = splits.split_targets(meta).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 5, "val": 1, "test": 2}
 

@@ -42,67 +42,103 @@ def split_positions(meta: DataFrame, order: list[str], train: float = 0.7, val:
     return placed.withColumn("split", F.when(F.col("place") < a, "train").when(F.col("place") < b, "val").otherwise("test")).drop("place")
 
 
-def mask(start: Column | None, end: Column | None, column: str, closed: bool = False) -> Column:
-    """start <= column < end (or <= end)."""
-    out = F.lit(True)
-    if start is not None:
-        out = out & (F.col(column) >= start)
-    if end is not None:
-        out = out & ((F.col(column) <= end) if closed else (F.col(column) < end))
-    return out
+def _at(s: str) -> Column:
+    return F.lit(s).cast("timestamp_ntz")
+
+
+def split_bounds(meta: DataFrame, train_start: str, train_end: str, val_end: str, time: str = "timestamp", target: str = "target_timestamp") -> DataFrame:
+    """train from train_start with targets before train_end, val from there with targets before val_end, test from there on; what is in none has null."""
+    t, y = F.col(time), F.col(target)
+    return meta.withColumn("split", F.when((t >= _at(train_start)) & (y < _at(train_end)), "train").when((t >= _at(train_end)) & (y < _at(val_end)), "val").when(t >= _at(val_end), "test"))
 
 
-def split_bounds(meta: DataFrame, train_start: str, train_end: str, val_end: str, purge: bool = True, time: str = "timestamp", target: str = "target_timestamp") -> DataFrame:
-    """Half-open spans [train_start, train_end), [train_end, val_end), then test; purged spans also hold their targets."""
-    at = lambda s: F.lit(s).cast("timestamp_ntz")
-    inside = lambda a, b: mask(a, b, time) & (mask(a, b, target) if purge else F.lit(True))
-    return meta.withColumn("split", F.when(inside(at(train_start), at(train_end)), "train").when(inside(at(train_end), at(val_end)), "val").when(mask(at(val_end), None, time), "test"))
+def purged_role(s: Column, e: Column, v: Column, w: Column, time: str = "timestamp", target: str = "target_timestamp") -> Column:
+    """train in [s, e) with targets before v, val from v with targets before w."""
+    t, y = F.col(time), F.col(target)
+    return F.when((t >= s) & (t < e) & (y < v), "train").when((t >= v) & (y < w), "val")
+
+
+def test_rows(meta: DataFrame, start, end=None, time: str = "timestamp", target: str = "target_timestamp") -> DataFrame:
+    """Rows from start on whose target is known (and not after end)."""
+    out = meta.filter((F.col(time) >= F.lit(start)) & F.col(target).isNotNull())
+    return out if end is None else out.filter(F.col(target) <= F.lit(end))
 
 
 def purged_folds(meta: DataFrame, n_splits: int = 5, time: str = "timestamp", target: str = "target_timestamp") -> DataFrame:
-    """Expanding folds on the time axis: fold, role and key of each row. Test folds have n // (k + 1) times and are the last ones; train rows end, targets too, before them. Folds without rows on either side are left out."""
+    """Expanding folds on the time axis: rows with fold and role. Test folds are the last ones, n // (k + 1) times each; rows whose target lies beyond their part's last time are left out, and folds that lose a whole part."""
     times = axis(meta, time)
     n = times.count()
-    size = n // (n_splits + 1)
-    if not size:
+    if n < n_splits + 2:
         raise ValueError("too few times for the folds")
-    edges = at_places(times, {f"{k}{e}": n - (n_splits - k) * size + (size - 1 if e == "end" else 0) for k in range(n_splits) for e in ("start", "end")})
-    spans = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(edges[f"{k}start"]).alias("a"), F.lit(edges[f"{k}end"]).alias("b")) for k in range(n_splits)])
+    size = n // (n_splits + 1)
+    ends = at_places(times, {f"{k}{e}": n - (n_splits - k) * size - 1 + (size if e == "test" else 0) for k in range(n_splits) for e in ("train", "test")})
+    spans = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(ends[f"{k}train"]).alias("a"), F.lit(ends[f"{k}test"]).alias("b")) for k in range(n_splits)])
     rows = meta.withColumn("__f", F.explode(spans))
     t, y = F.col(time), F.col(target)
-    role = F.when((t < F.col("__f.a")) & (y < F.col("__f.a")), "train").when((t >= F.col("__f.a")) & (t <= F.col("__f.b")), "test")
+    role = F.when((t <= F.col("__f.a")) & (y <= F.col("__f.a")), "train").when((t > F.col("__f.a")) & (t <= F.col("__f.b")) & (y <= F.col("__f.b")), "test")
     out = rows.withColumn("fold", F.col("__f.fold")).withColumn("role", role).drop("__f").filter("role IS NOT NULL")
     both = out.groupBy("fold").agg(F.count_distinct("role").alias("n")).filter("n = 2").select("fold")
     return out.join(F.broadcast(both), "fold")
 
 
-def walk_forward(n: int, train: int, val: int, test: int, step: int, min_train: int = 1, embargo: int = 0, expanding: bool = False) -> list[dict[str, int]]:
-    """Folds as places on an axis of n times: train, embargo, val, test in turn, from the start; each a `step` later. Bounds are first and last place."""
-    out, at = [], train
-    while at + embargo + val + test <= n:
-        first = 0 if expanding else at - train
-        if at - first >= min_train:
-            v = at + embargo
-            out.append({"fold": len(out), "train_first": first, "train_last": at - 1, "val_first": v, "val_last": v + val - 1, "test_first": v + val, "test_last": v + val + test - 1})
-        at += step
+def walk_boundaries(n: int, n_folds: int, val: int, test: int, step: int | None = None, train: int | None = None) -> list[dict[str, int]]:
+    """Folds as places on an axis of n times, before a test span of `test` times at its end: validation spans a step apart, training before each (all of it, or its last `train` times). Ends are exclusive."""
+    step, first_test, out = step or val, n - test, []
+    for k in range(n_folds):
+        v = first_test - (n_folds - k) * step
+        if v + val > first_test or v <= 0:
+            raise ValueError("the folds do not fit before the test span")
+        out.append({"fold": k + 1, "s": max(0, v - train) if train else 0, "e": v, "v": v, "w": v + val})
     return out
 
 
-def walk_back(n: int, n_folds: int, val: int, test: int, step: int | None = None, train: int | None = None) -> list[dict[str, int]]:
-    """n_folds folds whose validation spans step back from a test span at the end of the axis; train before each. Raises if they do not fit."""
-    step, out = step or val, []
-    for k in range(n_folds):
-        last = n - test - 1 - (n_folds - 1 - k) * step
-        first = last - val + 1
-        start = max(0, first - train) if train else 0
-        if first <= start:
-            raise ValueError("the folds do not fit the axis")
-        out.append({"fold": k, "train_first": start, "train_last": first - 1, "val_first": first, "val_last": last, "test_first": n - test, "test_last": n - 1})
+def walk_plan(n: int, val: int = 126, step: int = 126, test: int = 504, train: int | None = 1260, embargo: int = 0, min_train: int = 756) -> list[dict[str, int]]:
+    """Folds back from the test span, a step apart, for as long as training (an embargo before validation, rolling or expanding) fits and has min_train times; the oldest is fold 1."""
+    if n <= test + val + min_train + 10:
+        raise ValueError("too few times for the plan")
+    out, w = [], n - test
+    while w - val - embargo > 0:
+        v = w - val
+        e = v - embargo
+        s = e - train if train else 0
+        if s < 0 or e - s < min_train:
+            break
+        out.append({"s": s, "e": e, "v": v, "w": w})
+        w -= step
+    if not out:
+        raise ValueError("no fold fits")
+    return [{"fold": k, **f} for k, f in enumerate(reversed(out), 1)]
+
+
+def purged_fold_table(meta: DataFrame, folds: list[dict[str, int]], time: str = "timestamp", target: str = "target_timestamp") -> DataFrame:
+    """Rows of meta with fold and role (train, val), by the places of walk_boundaries or walk_plan."""
+    at = at_places(axis(meta, time), {f"{f['fold']}{k}": f[k] for f in folds for k in "sevw"})
+    spans = F.array(*[F.struct(F.lit(f["fold"]).alias("fold"), *[F.lit(at[f"{f['fold']}{k}"]).alias(k) for k in "sevw"]) for f in folds])
+    rows = meta.withColumn("__f", F.explode(spans))
+    return rows.withColumn("fold", F.col("__f.fold")).withColumn("role", purged_role(*[F.col(f"__f.{k}") for k in "sevw"], time, target)).drop("__f").filter("role IS NOT NULL")
+
+
+def walk_forward(n: int, train: int | None, val: int, test: int, step: int, min_train: int = 1, embargo: int = 0) -> list[dict[str, int]]:
+    """Folds from the start of an axis: train, val, test in turn, each fold a step later. The embargo shortens training; train None: it expands. Bounds are first and last place."""
+    if n < val + test + 5:
+        raise ValueError("too few times for the folds")
+    if train is not None and train < min_train:
+        raise ValueError("training is shorter than its least")
+    out, k = [], 0
+    while True:
+        first = k * step if train is not None else 0
+        v = first + train if train is not None else max(min_train, 1) + k * step
+        if v + val + test > n or v - embargo - first < max(1, min_train):
+            break
+        out.append({"fold": k + 1, "train_first": first, "train_last": v - embargo - 1, "val_first": v, "val_last": v + val - 1, "test_first": v + val, "test_last": v + val + test - 1})
+        k += 1
+    if not out:
+        raise ValueError("no fold fits")
     return out
 
 
 def fold_table(meta: DataFrame, folds: list[dict[str, int]], time: str, purge_on: str | None = None) -> DataFrame:
-    """Rows of meta with fold and role. purge_on: a time that decides roles beside `time` (rows whose two times have different roles go)."""
+    """Rows of meta with fold and role by walk_forward's places. purge_on: a time that must lie in the same span (else the row is left out)."""
     times = axis(meta, time)
     places = {f"{f['fold']}{k}": f[k] for f in folds for k in f if k != "fold"}
     at = at_places(times, places)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -220,44 +222,56 @@ def d2_split_positions(spark, d):
     return S.split_positions(_meta(spark, d), ["timestamp", "symbol"], 0.75, 0.15).select("symbol", stamp("timestamp"), "split")
 
 
-@query(f"WITH {META} SELECT symbol, {sql_stamp('timestamp')}, CASE WHEN timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-18' AND target_timestamp >= TIMESTAMP '2024-01-05' AND target_timestamp < TIMESTAMP '2024-01-18' THEN 'train' WHEN timestamp >= TIMESTAMP '2024-01-18' AND timestamp < TIMESTAMP '2024-01-24' AND target_timestamp >= TIMESTAMP '2024-01-18' AND target_timestamp < TIMESTAMP '2024-01-24' THEN 'val' WHEN timestamp >= TIMESTAMP '2024-01-24' THEN 'test' END AS split FROM meta")
+@query(f"WITH {META} SELECT symbol, {sql_stamp('timestamp')}, CASE WHEN timestamp >= TIMESTAMP '2024-01-05' AND target_timestamp < TIMESTAMP '2024-01-18' THEN 'train' WHEN timestamp >= TIMESTAMP '2024-01-18' AND target_timestamp < TIMESTAMP '2024-01-24' THEN 'val' WHEN timestamp >= TIMESTAMP '2024-01-24' THEN 'test' END AS split FROM meta")
 def d3_split_bounds(spark, d):
     return S.split_bounds(_meta(spark, d), "2024-01-05", "2024-01-18", "2024-01-24").select("symbol", stamp("timestamp"), "split")
 
 
-@query(f"""WITH {META}, f AS (SELECT fold, (SELECT t FROM ax WHERE i = n - (4 - fold) * (n // 5)) AS a, (SELECT t FROM ax WHERE i = n - (4 - fold) * (n // 5) + n // 5 - 1) AS b FROM (SELECT unnest(range(4)) AS fold)),
-r AS (SELECT symbol, timestamp, fold, CASE WHEN timestamp < a AND target_timestamp < a THEN 'train' WHEN timestamp >= a AND timestamp <= b THEN 'test' END AS role FROM meta, f)
+@query(f"WITH {META} SELECT symbol, {sql_stamp('timestamp')} FROM meta WHERE timestamp >= TIMESTAMP '2024-01-20' AND target_timestamp <= TIMESTAMP '2024-01-28'")
+def d3_test_rows(spark, d):
+    return S.test_rows(_meta(spark, d), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 28)).select("symbol", stamp("timestamp"))
+
+
+@query(f"""WITH {META}, f AS (SELECT fold, (SELECT t FROM ax WHERE i = n - (4 - fold) * (n // 5) - 1) AS a, (SELECT t FROM ax WHERE i = n - (4 - fold) * (n // 5) + n // 5 - 1) AS b FROM (SELECT unnest(range(4)) AS fold)),
+r AS (SELECT symbol, timestamp, fold, CASE WHEN timestamp <= a AND target_timestamp <= a THEN 'train' WHEN timestamp > a AND timestamp <= b AND target_timestamp <= b THEN 'test' END AS role FROM meta, f)
 SELECT CAST(fold AS INTEGER) AS fold, symbol, {sql_stamp('timestamp')}, role FROM r WHERE role IS NOT NULL""")
 def d4_purged_folds(spark, d):
     return S.purged_folds(_meta(spark, d), 4).select("fold", "symbol", stamp("timestamp"), "role")
 
 
-@query(f"""WITH {META}, f AS (SELECT fold, (SELECT n FROM ax LIMIT 1) - 4 - 1 - (2 - fold) * 3 AS v2 FROM (SELECT unnest(range(3)) AS fold)), s AS (SELECT fold, 'train' AS role, 0 AS a, v2 - 3 AS b FROM f UNION ALL SELECT fold, 'val', v2 - 2, v2 FROM f UNION ALL SELECT fold, 'test', (SELECT max(n) FROM ax) - 4, (SELECT max(n) FROM ax) - 1 FROM f)
-SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n FROM meta JOIN ax ON meta.timestamp = ax.t JOIN s ON i BETWEEN a AND b GROUP BY 1, 2""")
-def d5_walk_back(spark, d):
+PURGED = "SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n FROM (SELECT fold, CASE WHEN timestamp >= s.t AND timestamp < e.t AND target_timestamp < v.t THEN 'train' WHEN timestamp >= v.t AND target_timestamp < w.t THEN 'val' END AS role FROM meta, f JOIN ax s ON s.i = f.s JOIN ax e ON e.i = f.e JOIN ax v ON v.i = f.v JOIN ax w ON w.i = f.w) WHERE role IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"WITH {META}, f AS (SELECT fold, 0 AS s, v AS e, v, v + 4 AS w FROM (SELECT fold, (SELECT max(n) FROM ax) - 4 - (4 - fold) * 5 AS v FROM (SELECT unnest(range(1, 4)) AS fold))) {PURGED}")
+def d5_walk_boundaries(spark, d):
     m = _meta(spark, d)
-    folds = S.walk_back(S.axis(m).count(), 3, 3, 4)
-    return S.fold_table(m, folds, "timestamp").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
+    return S.purged_fold_table(m, S.walk_boundaries(S.axis(m).count(), 3, 4, 4, step=5)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {META}, s AS (SELECT fold, role, a + fold * 4 AS a, b + fold * 4 AS b FROM (SELECT unnest(range(20)) AS fold), (VALUES ('train', 0, 9), ('val', 11, 13), ('test', 14, 17)) v(role, a, b)), k AS (SELECT * FROM s WHERE fold IN (SELECT fold FROM s WHERE role = 'test' AND b < (SELECT max(n) FROM ax)))
-SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n FROM meta JOIN ax x ON meta.timestamp = x.t JOIN ax y ON meta.target_timestamp = y.t JOIN k ON x.i BETWEEN a AND b AND y.i BETWEEN a AND b GROUP BY 1, 2""")
-def d6_walk_forward_purged(spark, d):
-    """Rolling folds with an embargo of one time; rows whose target leaves the span are left out."""
+@query(f"WITH {META}, g AS (SELECT j, (SELECT max(n) FROM ax) - 4 - j * 3 AS w FROM (SELECT unnest(range(20)) AS j)), k AS (SELECT w - 10 AS s, w - 4 AS e, w - 3 AS v, w FROM g WHERE w - 10 >= 0), f AS (SELECT row_number() OVER (ORDER BY w) AS fold, * FROM k) {PURGED}")
+def d6_walk_plan(spark, d):
+    """Rolling folds back from the test span with an embargo, purged by target time."""
     m = _meta(spark, d)
-    folds = S.walk_forward(S.axis(m).count(), 10, 3, 4, 4, embargo=1)
-    return S.fold_table(m, folds, "timestamp", "target_timestamp").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
+    return S.purged_fold_table(m, S.walk_plan(S.axis(m).count(), 3, 3, 4, 6, 1, 4)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {META}, ay AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT target_timestamp AS t FROM meta)), s AS (SELECT fold, role, a + fold * 4 AS a, b + fold * 4 AS b FROM (SELECT unnest(range(20)) AS fold), (VALUES ('train', 0, 9), ('val', 10, 13), ('test', 14, 17)) v(role, a, b)), k AS (SELECT * FROM s WHERE fold IN (SELECT fold FROM s WHERE role = 'test' AND b < (SELECT max(n) FROM ay)))
+@query(f"""WITH {META}, ay AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT target_timestamp AS t FROM meta)), s AS (SELECT fold, role, a + (fold - 1) * 4 AS a, b + (fold - 1) * 4 AS b FROM (SELECT unnest(range(1, 20)) AS fold), (VALUES ('train', 0, 8), ('val', 10, 13), ('test', 14, 17)) v(role, a, b)), k AS (SELECT * FROM s WHERE fold IN (SELECT fold FROM s WHERE role = 'test' AND b < (SELECT max(n) FROM ay)))
 SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n FROM meta JOIN ay ON meta.target_timestamp = ay.t JOIN k ON i BETWEEN a AND b GROUP BY 1, 2""")
 def d7_walk_forward_targets(spark, d):
-    """On target times alone: early validation rows start before the last training target is known (d6 is free of that)."""
+    """On target times alone: early validation rows start before the last training target is known (d7_walk_forward_purged is free of that)."""
     m = _meta(spark, d)
-    folds = S.walk_forward(S.axis(m, "target_timestamp").count(), 10, 4, 4, 4)
+    folds = S.walk_forward(S.axis(m, "target_timestamp").count(), 10, 4, 4, 4, embargo=1)
     return S.fold_table(m, folds, "target_timestamp").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {META}, s AS (SELECT fold, role, a + (fold - 1) * 4 AS a, b + (fold - 1) * 4 AS b FROM (SELECT unnest(range(1, 20)) AS fold), (VALUES ('train', 0, 9), ('val', 10, 12), ('test', 13, 16)) v(role, a, b)), k AS (SELECT * FROM s WHERE fold IN (SELECT fold FROM s WHERE role = 'test' AND b < (SELECT max(n) FROM ax)))
+SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n FROM meta JOIN ax x ON meta.timestamp = x.t JOIN ax y ON meta.target_timestamp = y.t JOIN k ON x.i BETWEEN a AND b AND y.i BETWEEN a AND b GROUP BY 1, 2""")
+def d7_walk_forward_purged(spark, d):
+    """Rows whose decision and target both lie in a span."""
+    m = _meta(spark, d)
+    return S.fold_table(m, S.walk_forward(S.axis(m).count(), 10, 3, 4, 4), "timestamp", "target_timestamp").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {META}, ay AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT target_timestamp AS t FROM meta)) SELECT symbol, {sql_stamp('timestamp')}, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM meta JOIN ay ON target_timestamp = t")
 def d8_split_targets(spark, d):
     return S.split_targets(_meta(spark, d)).select("symbol", stamp("timestamp"), "split")

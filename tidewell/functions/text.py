@@ -1,10 +1,10 @@
 """Text cleaning as column expressions, all in the JVM. A null text stays null."""
 
-from __future__ import annotations
-
+import hashlib
 from functools import cache
 from html.entities import html5
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,14 +148,20 @@ def limit_elongation(c: Column, most: int = 3) -> Column:
     return _sub(c, rf"(.)\1{{{most},}}", "$1" * most)
 
 
+def clean(c: Column, urls: str, emoji: str) -> Column:
+    """Charset, HTML, control characters, blanks, URLs, mentions and emoji (`strip` or `keep`), in this order."""
+    c = replace_mentions(replace_urls(collapse_space(remove_control(strip_html(repair_mojibake(c)))), urls))
+    return strip_emoji(c) if emoji == "strip" else c
+
+
 def clean_for_models(c: Column) -> Column:
-    """HTML, control characters, URL and mention tokens, no emoji, single blanks."""
-    return collapse_space(strip_emoji(replace_mentions(replace_urls(remove_control(strip_html(c)), "token"))))
+    """URLs as a bare token, no emoji."""
+    return clean(c, "token", "strip")
 
 
 def clean_for_reading(c: Column) -> Column:
-    """As clean_for_models, with a URL's host left in its token and emoji kept."""
-    return collapse_space(replace_mentions(replace_urls(remove_control(strip_html(c)), "domain_token")))
+    """URLs as a token of their domain, emoji kept."""
+    return clean(c, "domain_token", "keep")
 
 
 def combine(*parts: Column) -> Column:
@@ -163,8 +169,18 @@ def combine(*parts: Column) -> Column:
     return F.concat_ws(" - ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
 
 
+def blake2b(c: Column, size: int = 20) -> Column:
+    """BLAKE2b of the trimmed text as hex, for tables that hold such hashes already: Spark has none, so Arrow batches go through Python. 20 bytes for cleaned texts, 16 for scored ones."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.blake2b((t or "").strip().encode(), digest_size=size).hexdigest())
+
+    return run(c)
+
+
 def content_hash(c: Column) -> Column:
-    """Identity of the trimmed text."""
+    """Identity of the trimmed text, in the JVM."""
     return F.sha2(F.trim(F.coalesce(c, F.lit(""))), 256)
 
 

@@ -97,6 +97,11 @@ def t13_content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
+@query()
+def t13_blake2b(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.blake2b(F.col("text")).alias("etl_hash"), X.blake2b(F.col("text"), 16).alias("scoring_hash"))
+
+
 POST = "CASE event_type WHEN 'click' THEN 'Buy $TSLA and $AAPL or $TSLA' WHEN 'view' THEN 'NYSE: GE rises (MSFT) ON news' ELSE 'GE said nothing; big blue did ' || event_type END"
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, pick
 
-#: Pieces and token pairs that a Python worker remembers; beyond that the memory starts anew. Speed only.
-REMEMBERED = 250_000
+#: Pieces in each half of a Python worker's memory. Speed only.
+REMEMBERED = 170_000
+#: Token pairs that it remembers; beyond that the memory starts anew. Speed only.
+PAIRS = 300_000
 #: The byte-level pre-split. White space is that of Unicode, as in the tokenizer's own engine.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -98,7 +101,7 @@ class Codec:
                 i -= 1
             else:
                 j -= 1
-        if len(self.pairs) >= REMEMBERED:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[key] = fits
         return fits
@@ -162,16 +165,20 @@ class Codec:
 
 
 class Pieces(dict):
-    """Encoded pieces, made when first asked for."""
+    """Encoded pieces, made when first asked for. Those used since the older half was closed move on, the rest is forgotten."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.encode_piece(piece), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", self.codec.encode_piece(piece)).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

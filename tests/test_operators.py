@@ -228,3 +228,16 @@ def test_stream_accepts_late_bars(spark, tmp_path):
     out = streams.run_to_table(streams.guarded_upserts(streams.files(spark, f"{tmp_path}/in/*", schema, 1)), f"{tmp_path}/out", f"{tmp_path}/state")
     got = {r.key: (r.seq, r.volume) for r in streams.last_state(out, ["key"]).collect()}
     assert got == {"a": (3, 6), "b": (1, 1)}
+
+
+def test_asof_query_joins_every_line(spark, tmp_path):
+    from tidewell.plans import QUERIES
+
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    lines = [(k, k * 7 % 5, k, 1, day(k * 11 % 60)) for k in range(1, 41)]
+    orders = [(k % 4, day(k * 13 % 60), float(k)) for k in range(20)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {i: max(((at, p) for c, at, p in orders if c == part and at <= t), default=(None, None)) for _, part, i, _, t in lines}
+    got = {r.id: (r["at"], r.price) for r in QUERIES["k9_asof_all_lines"](spark, str(tmp_path)).collect()}
+    assert len(got) == 40 and got == {i: (at and str(at), p) for i, (at, p) in want.items()}

@@ -318,11 +318,21 @@ def m10_align(spark, d):
 ASOF_R = "r AS (SELECT o_custkey % 150 AS symbol, o_orderdate AS at, max(o_totalprice) AS price FROM orders GROUP BY 1, 2)"
 
 
+def _asof_lines(lines, orders):
+    left = lines.select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 150).alias("symbol"), F.col("l_shipdate").alias("t"), "l_linenumber")
+    right = orders.select((F.col("o_custkey") % 150).alias("symbol"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+    return asof.asof_backward(left, right, "t", "at", "symbol", ["price"]).select("id", "symbol", stamp("t"), "l_linenumber", stamp("at"), rnd("price", digits=4))
+
+
 @query(f"WITH {ASOF_R}, l AS (SELECT s_suppkey AS id, l_partkey % 150 AS symbol, l_shipdate AS t, l_linenumber FROM (SELECT l_suppkey AS s_suppkey, l_partkey, l_shipdate, l_linenumber, l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0)) SELECT l.id, l.symbol, {sql_stamp('l.t', 't')}, l.l_linenumber, {sql_stamp('r.at', 'at')}, round(r.price, 4) AS price FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.t >= r.at")
 def k9_asof_by_symbol(spark, d):
-    left = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 150).alias("symbol"), F.col("l_shipdate").alias("t"), "l_linenumber")
-    right = table(spark, d, "orders").select((F.col("o_custkey") % 150).alias("symbol"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
-    return asof.asof_backward(left, right, "t", "at", "symbol", ["price"]).select("id", "symbol", stamp("t"), "l_linenumber", stamp("at"), rnd("price", digits=4))
+    """A tenth of the lines, as the SQL says; k9_asof_all_lines has them all."""
+    return _asof_lines(table(spark, d, "lineitem").filter("l_orderkey % 10 = 0"), table(spark, d, "orders"))
+
+
+@query(f"WITH {ASOF_R}, l AS (SELECT l_suppkey AS id, l_partkey % 150 AS symbol, l_shipdate AS t, l_linenumber FROM lineitem) SELECT l.id, l.symbol, {sql_stamp('l.t', 't')}, l.l_linenumber, {sql_stamp('r.at', 'at')}, round(r.price, 4) AS price FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.t >= r.at")
+def k9_asof_all_lines(spark, d):
+    return _asof_lines(table(spark, d, "lineitem"), table(spark, d, "orders"))
 
 
 @query(f"WITH {WEEKLY}, {MACRO}, m AS (SELECT date, max(value) FILTER (indicator_name = '1-URGENT') AS urgent FROM macro GROUP BY date HAVING max(value) FILTER (indicator_name = '1-URGENT') IS NOT NULL) SELECT symbol, {sql_stamp('timestamp')}, {sql_rnd('urgent')} FROM bars ASOF LEFT JOIN m ON bars.timestamp >= m.date")

@@ -95,6 +95,17 @@ def test_secrets_propagate():
     assert secrets.masked("a token=abcdef b", secrets.scan("a token=abcdef b")[1]) == "a <assign> b"
 
 
+def test_secrets_guard_loses_nothing(monkeypatch):
+    texts = ['CONNECTION_STRING = "mongodb://admin:Xk92hdQ7@db1/prod"']
+    for entry in secrets.SENSITIVE:
+        half = len(entry) // 2
+        texts += [f'{n} = "mongodb://admin:Xk92hdQ7@db1/prod"' for gap in ("", "_", ".", "-", "_-") for n in (entry[:half] + gap + entry[half:], gap.join(entry).upper())]
+    guarded = [secrets.lexed_spans(t) for t in texts]
+    monkeypatch.setattr(secrets, "LOOKS_LIKE", re.compile(""))
+    assert guarded == [secrets.lexed_spans(t) for t in texts]
+    assert guarded[0] and secrets.masked(texts[0], secrets.scan(texts[0])[1]) == 'CONNECTION_STRING = "<lexed>"'
+
+
 LICENSED = [
     "x\nReleased under the MIT License.\ny",
     "licensed UNDER the apache license version 2.0 of the mit license",

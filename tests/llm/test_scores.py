@@ -106,6 +106,16 @@ def test_secrets_guard_loses_nothing(monkeypatch):
     assert guarded[0] and secrets.masked(texts[0], secrets.scan(texts[0])[1]) == 'CONNECTION_STRING = "<lexed>"'
 
 
+def test_secrets_keep_every_piece():
+    pieces = [f"Xk92hdQ7-{i:03d}" for i in range(150)]
+    grown = "k = \"start\"\n" + "".join(f'k = k + "{p}"\n' for p in pieces) + "db_password = k\n"
+    long = "k = " + " + ".join(f'"{p}"' for p in pieces) + "\ndb_password = k\n"
+    for t in (grown, long, "".join(f"{a} = {b} + {b}\n" for a, b in zip("bcdefghij", "abcdefghi")).join(['a = "Xk92hdQ7-zz"\n', "secret_key = j\n"])):
+        assert [t[s:e] for s, e in secrets.lexed_spans(t)] == ([p for p in pieces if p in t] or ["Xk92hdQ7-zz"])
+    name = "service." * 20 + "password_of_db"
+    assert len(secrets.lexed_spans(f'{name} = "Xk92hdQ7-zz"')) == 1
+
+
 LICENSED = [
     "x\nReleased under the MIT License.\ny",
     "licensed UNDER the apache license version 2.0 of the mit license",

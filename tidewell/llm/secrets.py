@@ -34,7 +34,7 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.8, "sec
 BENIGN = re.compile(r"(?:example|placeholder|changeme|dummy|sample|your[_-]|xxx|\*\*\*|<[^>]*>|none|null|true|false|undefined|todo)", re.I)
 LEAST = 1.5
 
-NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}"
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
 STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 TERM = rf"(?:{STRING}|[A-Za-z0-9+/_.=@:$%^!~*-]+)"
 BINDING = re.compile(rf"""(?<![A-Za-z0-9_.-])(?:(?P<name>{NAME})|"(?P<dq>{NAME})"|'(?P<sq>{NAME})')[ \t]*(?::=|=>|[:=](?![:=/]))[ \t]*(?P<value>{TERM}(?:[ \t]*\+[ \t]*{TERM})*)""")
@@ -86,14 +86,23 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Places of literals that reach a sensitive name, straight or through constants."""
     if not MARK.search(text) or not LOOKS_LIKE.search(text):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    # A constant's value is its own literals and the values it was built of, by their numbers: each literal is kept once.
+    constants: dict[str, int] = {}
+    values: list[tuple[list[tuple[str, int, int]], list[int]]] = []
+    reached: list[float] = []  # the greatest sensitivity that a value's literals were scored with
     found: set[tuple[int, int]] = set()
     for name, literals, names in lex(text):
-        through = [x for n in names for x in constants.get(n, ())]
-        own = [x for x in literals if x[0] not in constants]
-        constants[name] = (own + through)[:64]
-        if sensitivity(name):
-            for literal, start, end in own + through:
+        values.append(([x for x in literals if x[0] not in constants], [constants[n] for n in names if n in constants]))
+        reached.append(0.0)
+        constants[name] = len(values) - 1
+        weight, open_values = sensitivity(name), [len(values) - 1]
+        while open_values:
+            v = open_values.pop()
+            if reached[v] >= weight:  # a smaller weight finds no more
+                continue
+            reached[v] = weight
+            open_values += values[v][1]
+            for literal, start, end in values[v][0]:
                 if (text[start - 1 : start] in ('"', "'") or re.search(r"\d", literal)) and score(name, literal) >= LEAST:
                     found.add((start, end))
     return sorted(found)

@@ -197,6 +197,19 @@ def test_quality_compression_bands(docs):
     assert got[1] == (True, "ok") and not got[2][0] and not got[3][0]
 
 
+def test_quality_bands_reject_tails_and_long_words():
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rnd = random.Random(8)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(600)]
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    few = lambda n: " ".join(rnd.choice(vocab[:30]) for _ in range(n))
+    noise = "".join(chr(rnd.randint(33, 126)) if i % 9 else " " for i in range(3500))
+    assert [quality.measure(t, z)[9] for t in (prose(900), few(300), few(900), few(4000), prose(700) + noise, prose(2000) + few(900))] == ["ok", "repetitive", "repetitive", "repetitive", "incompressible", "repetitive"]
+    assert quality.measure(prose(900), z)[8] is not None
+
+
 def test_language(spark):
     rnd = random.Random(5)
     say = {"aa": "ka lu mi so", "bb": "trä sch ung ber", "cc": "que les eau oi"}

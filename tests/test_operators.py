@@ -241,3 +241,12 @@ def test_asof_query_joins_every_line(spark, tmp_path):
     want = {i: max(((at, p) for c, at, p in orders if c == part and at <= t), default=(None, None)) for _, part, i, _, t in lines}
     got = {r.id: (r["at"], r.price) for r in QUERIES["k9_asof_all_lines"](spark, str(tmp_path)).collect()}
     assert len(got) == 40 and got == {i: (at and str(at), p) for i, (at, p) in want.items()}
+
+
+def test_last_write_wins_uses_every_arrival(spark, tmp_path):
+    from tidewell.plans import QUERIES
+
+    rows = [(i, T(1), i * 3 % 16, "click", float(i), "{}") for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.k: r.seq for r in QUERIES["u3_last_write_wins_all"](spark, str(tmp_path)).collect()}
+    assert got == {r[2]: r[0] for r in rows} and {7, 15} <= set(got)

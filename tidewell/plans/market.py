@@ -418,6 +418,15 @@ def u3_last_write_wins(spark, d):
     return U.insert_or_replace(a.filter("seq < 40 AND seq % 3 <> 0"), a.filter("seq % 3 = 0"), ["k"], [F.col("seq").desc()])
 
 
+@query(f"WITH {ARRIVALS}, o AS (SELECT k, seq FROM arr WHERE seq < 30 OR k % 8 = 7 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1), n AS (SELECT k, seq FROM arr WHERE seq >= 30 AND k % 8 <> 7 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) SELECT k, seq FROM n UNION ALL SELECT k, seq FROM o WHERE k NOT IN (SELECT k FROM n)")
+def u3_last_write_wins_all(spark, d):
+    """Every arrival is on one side; keys of k % 8 = 7 are on the old side only and keep their old row."""
+    a = _arrivals(spark, d).select("k", "seq")
+    is_old = (F.col("seq") < 30) | (F.col("k") % 8 == 7)
+    old = U.first_per_key(a.filter(is_old), ["k"], [F.col("seq").desc()])
+    return U.insert_or_replace(old, a.filter(~is_old), ["k"], [F.col("seq").desc()])
+
+
 @query("SELECT 'events' AS target_table, CAST(last(event_id ORDER BY ts, event_id) AS VARCHAR) AS last_pk, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_time FROM events UNION ALL SELECT 'orders', '1', '2000-01-01 00:00:00'")
 def u6_checkpoint(spark, d):
     held = spark.sql("SELECT * FROM VALUES ('events', '0', TIMESTAMP_NTZ '1999-01-01 00:00:00'), ('orders', '1', TIMESTAMP_NTZ '2000-01-01 00:00:00') AS t(target_table, last_pk, last_time)")

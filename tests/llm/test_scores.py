@@ -146,6 +146,19 @@ def test_licenses_equal_brute_force(spark, docs, tmp_path):
     assert licenses.license_scan(docs([])).count() == 0
 
 
+def test_licenses_in_runs_of_lines(spark, docs, tmp_path):
+    bsd = "// Redistribution and use in source and binary forms,\n// with or without modification,\n//\n// are permitted provided that the\n// following conditions\n// are met"
+    texts = [*LICENSED, bsd, "released\n" + "word " * 40 + "\nunder the MIT\nlicensed"]
+    path = f"{tmp_path}/d"
+    docs(list(enumerate(texts))).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    got = sorted(tuple(r) for r in licenses.license_scan(docs(list(enumerate(texts))), runs=True).collect())
+    assert got == sorted(con.execute(licenses.oracle_with_runs()).fetchall())
+    labels = {r[0]: r[6] for r in got}
+    assert labels[3] == "mpl" and labels[len(LICENSED)] == "bsd" and labels[len(LICENSED) + 1] == ""
+
+
 def test_license_prefixes_lose_nothing(spark, docs):
     """Blocks with just the needed share of a template's words, chosen at random."""
     rnd = random.Random(2)

@@ -108,8 +108,34 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(starts, stands)).otherwise(F.array().cast("array<int>"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES) -> DataFrame:
-    """id_col, n_words, n_base, first_word, last_word long, base_labels, labels string, score double (greatest share of a template found; 1 with a phrase)."""
+def run_bounds(templates: tuple = TEMPLATES) -> dict[int, int]:
+    """Of each line template by id: lines that begin fewer than so many words (twice the template's) after a line does are one run with it."""
+    import re
+
+    return {i: 2 * len(re.findall(r"[a-z0-9]+", text.lower())) for i, (_, kind, text) in enumerate(templates) if kind == "line"}
+
+
+def met_in_runs(low: DataFrame, sets: list[tuple], bounds: dict[int, int]) -> DataFrame:
+    """row, template, label, need, size, common: line templates met by the run of lines that starts at some line of a text, wrapped notices among them.
+
+    From each line the longest run counts, as it holds all shorter ones. Times that the bounds share make one window serve all templates.
+    """
+    import math
+
+    unit = math.lcm(*bounds.values())
+    short = low.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{label}', {need}, {len(words)}, array({', '.join(repr(w) for w in words)}), {unit // bounds[i]}L)" for i, label, _, words, need in sets if i in bounds) + " AS t(template, label, need, size, template_words, step)")
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in sets if t[0] in bounds for w in t[3]})])
+    line = low.select("row", F.posexplode(F.split("low", "\n")).alias("line", "text")).select("row", "line", count_words(F.col("text")).alias("n"), F.array_intersect(words_of(F.col("text")), vocabulary).alias("words"))
+    before = F.sum("n").over(Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    line = line.withColumn("before", before).filter(F.size("words") > 0)
+    shared = line.join(F.broadcast(short), F.arrays_overlap("words", "template_words")).withColumn("words", F.array_intersect("words", "template_words"))
+    run = Window.partitionBy("row", "template").orderBy(F.col("before") * F.col("step")).rangeBetween(Window.currentRow, unit - 1)
+    common = F.size(F.array_distinct(F.flatten(F.collect_list("words").over(run))))
+    return shared.select("row", "template", "label", "need", "size", common.alias("common")).filter("common >= need")
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, runs: bool = False) -> DataFrame:
+    """With `runs`, line templates are also sought in runs of lines. id_col, n_words, n_base, first_word, last_word long, base_labels, labels string, score double (greatest share of a template found; 1 with a phrase)."""
     spark = docs.sparkSession
     low = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
     counts = frequencies(low, templates)
@@ -131,8 +157,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id",
         count_words(F.col("low")).alias("n_words"),
         places.alias("places"),
+        *(["low"] if runs else []),
         F.when(may_meet, F.concat(blocks("line", F.split("low", "\n")), blocks("paragraph", F.split("low", PARAGRAPH)))).otherwise(none).alias("blocks"),
     )
+    if runs:
+        rows = rows.withColumn("low", F.when(may_meet, F.col("low")))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
     block = rows.filter(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.kind", "b.words")
@@ -143,6 +172,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The prefixes are as many as the templates have words: bounded.
     pairs = ranked.join(F.broadcast(template_table(spark, sets)), ["kind", "word"]).filter((F.col("have") >= F.col("need")) & (F.least("place", "at") + F.least(F.col("size") - F.col("place"), F.col("have") - F.col("at")) >= F.col("need")))
     met = pairs.groupBy("row", "block", "template").agg(F.first("label").alias("label"), F.first("need").alias("need"), F.first("size").alias("size"), F.size(F.array_intersect(F.first("words"), F.first("template_words"))).alias("common")).filter("common >= need")
+    bounds = run_bounds(templates)
+    if runs and bounds:
+        met = met.select("row", "label", "common", "size").unionByName(met_in_runs(rows.filter("low IS NOT NULL").select("row", "low"), sets, bounds).select("row", "label", "common", "size"))
     labels = met.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("share"))
 
     base = [F.when(F.size(F.get("places", k)) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]
@@ -182,3 +214,17 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_base,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
        CASE WHEN base IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def oracle_with_runs() -> str:
+    """oracle() with the runs of lines beside its blocks: every pair of lines within a template's bound."""
+    bounds = ", ".join(f"({i}, {n})" for i, n in run_bounds().items())
+    runs = f"""
+bound(template, n) AS (VALUES {bounds}),
+ln AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(low, chr(10)) AS lines FROM low)),
+lw AS (SELECT doc_id, i, regexp_extract_all(line, '{WORD}') AS words FROM ln),
+lc AS (SELECT doc_id, i, words, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i) - len(words) AS c FROM lw),
+lt AS (SELECT doc_id, template, i, c, n, list_intersect(lc.words, t.words) AS words FROM lc, t JOIN bound USING (template) WHERE len(list_intersect(lc.words, t.words)) > 0),
+rw AS (SELECT a.doc_id, a.template, a.i, list_distinct(flatten(list(b.words))) AS words FROM lt a JOIN lt b ON a.doc_id = b.doc_id AND a.template = b.template AND b.i >= a.i AND b.c < a.c + a.n GROUP BY ALL),
+rm AS (SELECT doc_id, t.label, len(rw.words) / len(t.words) AS share FROM rw JOIN t USING (template) WHERE len(rw.words) >= t.need),"""
+    return oracle().replace("\nfound AS", runs + "\nfound AS").replace("FROM m GROUP BY", "FROM (SELECT * FROM m UNION ALL SELECT * FROM rm) GROUP BY")

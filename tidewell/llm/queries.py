@@ -33,6 +33,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"), runs=True)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,10 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_near_duplicates, op5_repeated_passages, op6_token_files, op7_bpe_round_trip, op8_decontaminate, op9_quality_rules, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op3_license_scan_wrapped, op4_near_duplicates, op5_repeated_passages, op6_token_files, op7_bpe_round_trip, op8_decontaminate, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": licenses.oracle(),
+    "op3_license_scan_wrapped": licenses.oracle_with_runs(),
     "op4_near_duplicates": oracles.NEAR_DUPLICATES,
     "op5_repeated_passages": oracles.REPEATS,
     "op8_decontaminate": oracles.CONTAMINATION,

@@ -250,3 +250,13 @@ def test_last_write_wins_uses_every_arrival(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.k: r.seq for r in QUERIES["u3_last_write_wins_all"](spark, str(tmp_path)).collect()}
     assert got == {r[2]: r[0] for r in rows} and {7, 15} <= set(got)
+
+
+def test_other_sources_use_every_label(spark, tmp_path):
+    from tidewell.plans import QUERIES
+
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, "u", "h") for i in range(300)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 0, "user", "x") for i in range(300)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["k2_other_sources_all"](spark, str(tmp_path)).collect()
+    assert len(got) == 600 and all((r.model is not None) == (r.id % 3 == 0) for r in got)

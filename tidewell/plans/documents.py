@@ -196,6 +196,16 @@ def k2_other_sources(spark, d):
     return pages.withColumn("kind", F.lit("page")).unionByName(posts.withColumn("kind", F.lit("thread"))).select("kind", "id", "model", "sentiment")
 
 
+@query(f"WITH {PREDS} SELECT 'page' AS kind, page_id AS id, model, sentiment FROM pages LEFT JOIN preds ON pred_id = page_id UNION ALL SELECT 'thread', conv_id, model, sentiment FROM conversations LEFT JOIN preds ON pred_id = conv_id WHERE turn = 0")
+def k2_other_sources_all(spark, d):
+    """k2_other_sources with page and thread annotations made from all labels: unmatched rows are those without a label."""
+    a = annotations(spark, d).select("source", "pred_id", "model", "sentiment")
+    every = a.unionByName(a.withColumn("source", F.lit("page"))).unionByName(a.withColumn("source", F.lit("thread")))
+    pages = V.with_predictions(table(spark, d, "pages").select("page_id"), every, "page", "page_id").withColumnRenamed("page_id", "id")
+    posts = V.with_predictions(table(spark, d, "conversations").filter("turn = 0").select("conv_id"), every, "thread", "conv_id").withColumnRenamed("conv_id", "id")
+    return pages.withColumn("kind", F.lit("page")).unionByName(posts.withColumn("kind", F.lit("thread"))).select("kind", "id", "model", "sentiment")
+
+
 @query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def k3_enriched(spark, d):
     return V.enriched(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")

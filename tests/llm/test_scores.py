@@ -111,11 +111,77 @@ def test_secrets_keep_every_piece():
     grown = "k = \"start\"\n" + "".join(f'k = k + "{p}"\n' for p in pieces) + "db_password = k\n"
     long = "k = " + " + ".join(f'"{p}"' for p in pieces) + "\ndb_password = k\n"
     for t in (grown, long, "".join(f"{a} = {b} + {b}\n" for a, b in zip("bcdefghij", "abcdefghi")).join(['a = "Xk92hdQ7-zz"\n', "secret_key = j\n"])):
-        assert [t[s:e] for s, e in secrets.lexed_spans(t)] == ([p for p in pieces if p in t] or ["Xk92hdQ7-zz"])
+        assert [t[s:e] for s, e in secrets.lexed_spans(t)] == (["start"] * (t is grown) + [p for p in pieces if p in t] or ["Xk92hdQ7-zz"])
     name = "service." * 20 + "password_of_db"
     assert len(secrets.lexed_spans(f'{name} = "Xk92hdQ7-zz"')) == 1
 
 
+def test_secrets_over_generated_source():
+    """Files of known assignments in several syntaxes: each secret is found at its place and nothing else is."""
+    rnd = random.Random(12)
+    rand = lambda n: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n - 2)) + "7Q"
+    secret = lambda: rnd.choice(["db_password_main", "dbpassword", "userPasswd", "client_secret_v", "AWS.PrivateKey", "auth-token-x", "passphrase"])
+    clean = lambda: rnd.choice(["author", "tokenizer", "max_tokens", "colour", "password_hint", "secretary", "token_count", "keyboard", "authority_url"])
+    for _ in range(200):
+        out, want, later, at = [], [], [], 0
+
+        def put(s, mark=False):
+            nonlocal at
+            out.append(s)
+            if mark:
+                want.append((at, at + len(s)))
+            at += len(s)
+
+        for k in range(rnd.randint(1, 8)):
+            a, b, n = rand(rnd.randint(8, 20)), rand(rnd.randint(8, 20)), f"const_{k}_"
+            name, op, q = secret(), rnd.choice([" = ", "=", ": ", " := ", " => "]), rnd.choice("\"'")
+            case = rnd.randrange(9)
+            if case == 0:
+                put(f"{name}{op}{q}"), put(a, True), put(f"{q}\n")
+            elif case == 1:
+                put(f"{name}{op}"), put(a, True), put("\n")
+            elif case == 2:
+                put(f"{n} = {q}"), put(a, True), put(f"{q}\n{n}2 = {n}\n{name}{op}{n}2\n")
+            elif case == 3:
+                put(f"{name}{op}{n} + {n}b\n")
+                put(f"{n} = {q}"), put(a, True), put(f"{q}\n{n}b = {q}"), put(b, True), put(f"{q}\n")
+            elif case == 4:
+                put(f'{name} = """'), put(a + "\n" + b, True), put('"""\n')
+            elif case == 5:
+                put(f"{name}: |\n  "), put(a, True), put("\n   "), put(b, True), put("\n")
+            elif case == 6:
+                put(f"{name} = ({q}"), put(a, True), put(f"{q}\n   {q}"), put(b, True), put(f"{q})\n")
+            elif case == 7:
+                put(f"{clean()}{op}{q}{a}{q}\n")
+            else:
+                put(rnd.choice([f"{name}{op}{q}your-{n.replace('_', '-')}here{q}\n", f"{name} = load({q}{a}{q})\n", f"{name} = environ[{q}{a}{q}]\n", f"{name}{op}<{a}>\n"]))
+        text = "".join(out)
+        plain, spans = secrets.scan(text)
+        inside = lambda s, e: any(p <= s and e <= q for p, q, _ in plain)
+        assert [(s, e) for s, e, k in spans if k == "lexed"] == sorted(x for x in set(want) if not inside(*x)), text
+
+
+def test_secrets_leave_clean_text_alone():
+    clean = ['author = "Jane Doe, PhD"', 'tokenizer = "byte_bpe_50k.json"', "max_tokens: 1024-cased", 'secret: "The usual sort"', "Password: see the note on page 12.", 'passwords = load("x1y2z3a4")', "pwd = ********", 'auth_url = "https://example.org/v1/login"', "The bearer: a man of 41 years", 'token_type: "Bearer2token"', "secretary: Anne4Lise", 'db_pwd = "${DB_PWD_1}"', "api_key_field = 'x-api-key-2'"]
+    for t in clean:
+        assert secrets.scan(t)[1] == [(m.start(), m.end(), "assign") for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6], t
+    kept = ['pwd = "trueXk92hd"', 'pwd = "xxxk92hdQ7"', 'auth_secret_v = "none5Xk92hd"']
+    assert all(len(secrets.scan(t)[1]) == 1 for t in kept)
+
+
+def test_secrets_odd_sources():
+    """Circles, doublings, very long texts and unclosed strings: whole results, in linear time."""
+    import time
+
+    assert secrets.lexed_spans('A = B\nB = A\nsecret_k = A + "Xk92hdQ7zz"') == [(28, 38)]
+    assert secrets.lexed_spans("A = A\nsecret_k = A") == [] and secrets.lexed_spans('a = ""\n' + "a = a + a\n" * 100 + "secret_k = a\n") == []
+    assert len(secrets.lexed_spans("pwd_a = Xk92hdQ7\n" * 20_000)) == 20_000
+    for t in ("password = hunter22 x\n" * 20_000, "my_pwd_v: 'Xk92hdQ7zz" * 20_000, '"""' * 20_000 + "pwd = " * 20_000, "pwd = " + "[ " * 20_000 + "a+" * 20_000 + "pwd=\n" * 20_000, "pwd" + " " * 200_000 + "=" + " " * 200_000):
+        began = time.time()
+        secrets.scan(t)
+        assert time.time() - began < 10
+
+
 LICENSED = [
     "x\nReleased under the MIT License.\ny",
     "licensed UNDER the apache license version 2.0 of the mit license",

@@ -15,27 +15,42 @@ from tidewell.llm.common import table, written
 from tidewell.llm.queries import vocabulary
 
 
+def beside(found: DataFrame, docs: DataFrame, *outputs: str) -> DataFrame:
+    """An operator's result that carries all columns of docs (id and text first, then the rest): those as c0, c1 .. in the order of docs, its last columns as `outputs`."""
+    order = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    return found.toDF(*[f"c{docs.columns.index(c)}" for c in order], *outputs)
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """c0, c1 .. of `beside` under their own names, whatever these are."""
+    return rows.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, carry=tuple(docs.columns)).filter("kept").select(docs.columns)
+    outputs = [x.split(" ")[0] for x in quality.SCHEMA.split(", ")]
+    return named(beside(quality.quality_rules(docs, carry=tuple(docs.columns)), docs, *outputs).filter("kept"), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns)).filter(~F.col("contaminated")).select(docs.columns)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
+    return named(beside(found, docs, *decontaminate.OUTPUTS).filter(~F.col("contaminated")), docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the text."""
-    found = secrets.secret_scan(docs, outputs=("spans", "masked"), carry=tuple(docs.columns))
+    found = beside(secrets.secret_scan(docs, outputs=("spans", "masked"), carry=tuple(docs.columns)), docs, "spans", "masked")
     changed = F.col("spans") != ""
-    return found.select(*[F.when(changed, F.col("masked")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("masked").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    own = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast(docs.schema["n_chars"].dataType) if "n_chars" in own else None}
+    return found.select(*[F.when(changed, new[c]).otherwise(x) if c in new else x for c, x in own.items()]).toDF(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,6 +183,24 @@ def test_decontamination(spark, docs, block):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == hits_brute(rows, items)
 
 
+def test_decontamination_of_passages_in_many_items(spark, docs):
+    """One passage in many items and documents: windows are listed once, items in full; by one block and by several."""
+    rnd = random.Random(9)
+    say = lambda n: " ".join(f"v{rnd.randrange(900)}" for _ in range(n))
+    passage = say(40)
+    items = [(i, say(rnd.randint(0, 9)) + " " + passage + " " + say(rnd.randint(0, 9))) for i in range(60)] + [(99, "v1")]
+    rows = [(i, say(30) + " " + (passage if i % 3 else say(5)) + " " + say(8)) for i in range(40)] + [(None, None), (50, None), (50, say(20)), (51, passage), (51, passage)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((str(i), *hits_brute([(i, t)], items)[i]) for i, t in rows)
+    for more in ({}, {"block_bytes": 900}):
+        found = decontaminate.contamination(docs(rows, "row", "spans", "c0", "contaminated"), bench, carry=("row", "c0", "text"), **more)
+        assert found.columns == ["doc_id", "text", "row", "c0", *decontaminate.OUTPUTS]
+        assert sorted((str(r[0]), *r[4:7], r[8], r[9]) for r in found.collect()) == want
+    some = decontaminate.matches(docs([(1, passage)]), bench).collect()
+    assert sorted((r.item_id, r.n_words >= 40) for r in some if r.item_id != "99") == sorted((str(i), True) for i in range(60))
+    assert {tuple(r) for r in some} == {tuple(r) for r in decontaminate.matches(docs([(1, passage)]), bench, block_bytes=900).collect()}
+
+
 def test_decontamination_edges(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
     assert decontaminate.contamination(docs([]), bench).count() == 0

@@ -41,13 +41,28 @@ def test_pipeline(spark, docs, vocabulary, tmp_path):
     assert 300 in got and not {100, 200, 301, 302} & set(got)
 
 
+CLASHES = ("kept", "n_words", "ratio", "verdict", "spans", "masked", "contaminated", "items", "component_id", "n_shingles", "row", "c0", "c1", "id", "rep", "a.b")
+
+
 def test_stages_keep_the_columns(spark, docs, tmp_path):
+    """Extra columns named like each operator's own ones, nulls and repeated rows: columns and values stay."""
+    rnd = random.Random(7)
+    say = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(n))
     d = f"{tmp_path}/d"
-    docs([(1, "a b c"), (None, None)]).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = [(1, say(60) + " token = abcdef123"), (2, None), (None, None), (None, say(50)), (4, ""), (5, say(80)), (5, say(80)), (6, "a b c")]
+    docs([*rows, rows[0], rows[5]], *CLASHES).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     table = spark.read.parquet(f"{d}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, table, d).columns == table.columns, name
+        out = stage(spark, table, d)
+        assert out.columns == table.columns and [f.dataType for f in out.schema] == [f.dataType for f in table.schema], name
+        got = out.collect()
+        assert got and all(r[c] == "x" for r in got for c in CLASHES), name
+        left = {"quality rules": {1, 5, None}, "decontamination": {1, 2, None, 4, 5}}.get(name, {1, 2, None, 4, 5, 6})
+        assert {r.doc_id for r in got} == left, name
+        for r in got:
+            assert r.n_chars == len(r.text or "") and (r.text is None or ("<assign>" if name == "secrets" and r.doc_id == 1 else "") in r.text)
+    assert corpus_pipeline.run(spark, d).count() == 6  # rows that share an id stay
     assert stage_names() == ["quality rules", "near-duplicates", "decontamination", "secrets", "encoding"]
 
 

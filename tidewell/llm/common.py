@@ -48,7 +48,8 @@ def tidied(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over each Arrow batch. No shuffle; one batch in memory at a time."""
+    """fn over each Arrow batch, whose columns go by position. No shuffle; one batch in memory at a time."""
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may have dots
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

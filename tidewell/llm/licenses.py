@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks and license templates, in DataFrame operations alone.
 
-Short notices are sought in lines, long texts in paragraphs. A block meets a template if it holds at least THRESHOLD of the
+Short notices are sought in runs of lines (those that begin within twice the notice's words after a first line, so that wrapped ones
+are found), long texts in paragraphs. A block meets a template if it holds at least THRESHOLD of the
 template's distinct words (stop words aside). Words are ordered by how often the whole corpus has them, rarest
 first. A template's prefix is its first size - need + 1 words: a block with the needed overlap has one of them, so texts
 without any are not cut into blocks. Blocks below the needed length are passed over, and so are pairs whose places of the
@@ -34,20 +35,26 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 STOP = "a an and any are as at be but by for from in is it its no not of on or other such that the this to under was which with you your".split()
 # Fixed templates: label, where it is sought, text.
 TEMPLATES = (
+    ("agpl", "line", "Affero General Public License"),
     ("apache", "line", "Licensed under the Apache License, Version 2.0"),
     ("apache", "paragraph", "you may not use this file except in compliance with the License. You may obtain a copy of the License. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("bsd", "line", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd", "line", "Use of this source code is governed by a BSD-style license"),
+    ("bsl", "line", "Distributed under the Boost Software License, Version 1.0"),
     ("cc-by", "line", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "line", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "line", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "line", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "line", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("gpl", "line", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "paragraph", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version of the License, or any later version."),
     ("isc", "paragraph", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", "line", "Lesser General Public License"),
     ("mit", "line", "Released under the MIT License"),
     ("mit", "paragraph", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mpl", "line", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "line", "This is free and unencumbered software released into the public domain"),
+    ("zlib", "paragraph", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 
 
@@ -76,10 +83,10 @@ def ordered_templates(counts: dict[str, int], templates: tuple = TEMPLATES) -> l
     return [(i, label, kind, sorted(words, key=lambda w: (counts[w], w)), need) for i, label, kind, words, need in template_sets(templates)]
 
 
-def template_table(spark: SparkSession, ordered: list[tuple]) -> DataFrame:
-    """A row for each prefix word of each template, as literals: template, label, kind, need, size, template_words, word, place (from 1)."""
-    rows = ", ".join(f"({i}, '{label}', '{kind}', {need}, {len(words)}, array({', '.join(repr(w) for w in words)}), '{words[k]}', {k + 1})" for i, label, kind, words, need in ordered for k in range(len(words) - need + 1))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, kind, need, size, template_words, word, place)")
+def template_table(spark: SparkSession, ordered: list[tuple], bounds: dict[int, int]) -> DataFrame:
+    """A row for each prefix word of each template, as literals: template, label, kind, need, size, template_words, bound, word, place (from 1)."""
+    rows = ", ".join(f"({i}, '{label}', '{kind}', {need}, {len(words)}, array({', '.join(repr(w) for w in words)}), {bounds[i]}, '{words[k]}', {k + 1})" for i, label, kind, words, need in ordered for k in range(len(words) - need + 1))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, kind, need, size, template_words, bound, word, place)")
 
 
 def words_of(text: Column) -> Column:
@@ -108,73 +115,57 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(starts, stands)).otherwise(F.array().cast("array<int>"))
 
 
-def run_bounds(templates: tuple = TEMPLATES) -> dict[int, int]:
-    """Of each line template by id: lines that begin fewer than so many words (twice the template's) after a line does are one run with it."""
+def run_bound(kind: str, text: str) -> int:
+    """Lines that begin fewer than so many words (twice the template's) after a line does are one block with it; paragraphs are one block whatever they hold."""
     import re
 
-    return {i: 2 * len(re.findall(r"[a-z0-9]+", text.lower())) for i, (_, kind, text) in enumerate(templates) if kind == "line"}
+    return 2 * len(re.findall(r"[a-z0-9]+", text.lower())) if kind == "line" else 1 << 30
 
 
-def met_in_runs(low: DataFrame, sets: list[tuple], bounds: dict[int, int]) -> DataFrame:
-    """row, template, label, need, size, common: line templates met by the run of lines that starts at some line of a text, wrapped notices among them.
-
-    From each line the longest run counts, as it holds all shorter ones. Times that the bounds share make one window serve all templates.
-    """
-    import math
-
-    unit = math.lcm(*bounds.values())
-    short = low.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{label}', {need}, {len(words)}, array({', '.join(repr(w) for w in words)}), {unit // bounds[i]}L)" for i, label, _, words, need in sets if i in bounds) + " AS t(template, label, need, size, template_words, step)")
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in sets if t[0] in bounds for w in t[3]})])
+def line_runs(low: DataFrame, vocabulary: Column, most: int) -> DataFrame:
+    """row, block, known: for each line with a template word, the words of the lines that begin fewer than `most` words after it does (word, and how many words after), so that wrapped notices are in one block."""
     line = low.select("row", F.posexplode(F.split("low", "\n")).alias("line", "text")).select("row", "line", count_words(F.col("text")).alias("n"), F.array_intersect(words_of(F.col("text")), vocabulary).alias("words"))
     before = F.sum("n").over(Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    # Each of these lines has a word at least, so a frame holds no more than `most` of them.
     line = line.withColumn("before", before).filter(F.size("words") > 0)
-    shared = line.join(F.broadcast(short), F.arrays_overlap("words", "template_words")).withColumn("words", F.array_intersect("words", "template_words"))
-    run = Window.partitionBy("row", "template").orderBy(F.col("before") * F.col("step")).rangeBetween(Window.currentRow, unit - 1)
-    common = F.size(F.array_distinct(F.flatten(F.collect_list("words").over(run))))
-    return shared.select("row", "template", "label", "need", "size", common.alias("common")).filter("common >= need")
+    run = F.collect_list(F.struct("before", "words")).over(Window.partitionBy("row").orderBy("before").rangeBetween(Window.currentRow, most - 1))
+    line = line.select("row", "line", F.col("before").alias("from"), run.alias("run"))
+    known = F.flatten(F.transform("run", lambda r: F.transform(r["words"], lambda w: F.struct(w.alias("word"), (r["before"] - F.col("from")).alias("off")))))
+    return line.select("row", F.lit("line").alias("kind"), F.col("line").alias("block"), known.alias("known"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, runs: bool = False) -> DataFrame:
-    """With `runs`, line templates are also sought in runs of lines. id_col, n_words, n_base, first_word, last_word long, base_labels, labels string, score double (greatest share of a template found; 1 with a phrase)."""
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES) -> DataFrame:
+    """id_col, n_words, n_base, first_word, last_word long, base_labels, labels string, score double (greatest share of a template found; 1 with a phrase)."""
     spark = docs.sparkSession
-    low = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    # A-Z alone: of what lower() maps beside them only the Kelvin sign becomes a letter of a-z, so another letter stands in for it.
+    low = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.lower(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u212a"), F.lit("\u00aa"))).alias("low"))
     counts = frequencies(low, templates)
     sets = ordered_templates(counts, templates)
     least = {kind: min((t[4] for t in sets if t[2] == kind), default=1 << 30) for kind in ("line", "paragraph")}
     vocabulary = F.array(*[F.lit(w) for w in sorted(counts)])
 
-    def blocks(kind: str, parts: Column) -> Column:
-        known = F.transform(parts, lambda p: F.array_intersect(words_of(p), vocabulary))
-        return F.transform(F.filter(known, lambda k: F.size(k) >= least[kind]), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("words")))
-
     prefixes = sorted({w for _, _, _, words, need in sets for w in words[: len(words) - need + 1]}, key=lambda w: (counts[w], w))
     may_meet = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in prefixes])
-    none = F.array().cast("array<struct<kind:string,words:array<string>>>")
     # A column of its own: inside the search for places it would be made again for every word.
     words = F.when(F.contains("low", F.lit("license")), words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
     places = F.array(*[phrase_places(F.col("words"), p) for p, _ in PHRASES])
-    rows = low.select("id", "low", words.alias("words")).select(
-        "id",
-        count_words(F.col("low")).alias("n_words"),
-        places.alias("places"),
-        *(["low"] if runs else []),
-        F.when(may_meet, F.concat(blocks("line", F.split("low", "\n")), blocks("paragraph", F.split("low", PARAGRAPH)))).otherwise(none).alias("blocks"),
-    )
-    if runs:
-        rows = rows.withColumn("low", F.when(may_meet, F.col("low")))
+    rows = low.select("id", "low", words.alias("words")).select("id", count_words(F.col("low")).alias("n_words"), places.alias("places"), F.when(may_meet, F.col("low")).alias("low"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
-    block = rows.filter(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.kind", "b.words")
+    cut = rows.filter("low IS NOT NULL").select("row", "low")
+    paragraph = cut.select("row", F.lit("paragraph").alias("kind"), F.posexplode(F.split("low", PARAGRAPH)).alias("block", "text"))
+    paragraph = paragraph.withColumn("known", F.transform(F.array_intersect(words_of(F.col("text")), vocabulary), lambda w: F.struct(w.alias("word"), F.lit(0).cast("long").alias("off")))).drop("text")
+    bounds = {t: run_bound(kind, text) for t, (_, kind, text) in enumerate(templates)}
+    block = line_runs(cut, vocabulary, max((n for n in bounds.values() if n < 1 << 30), default=1)).unionByName(paragraph)
+    block = block.withColumn("words", F.array_distinct(F.transform("known", lambda k: k["word"]))).filter(F.size("words") >= F.when(F.col("kind") == "line", least["line"]).otherwise(least["paragraph"]))
     # A block's known words in the same order as the templates'.
     rank = F.create_map(*[x for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w))) for x in (F.lit(w), F.lit(i))])
     ordered = block.withColumn("ordered", F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word")))))
-    ranked = ordered.select("row", "block", "kind", "words", F.size("ordered").alias("have"), F.posexplode("ordered").alias("at", "o")).select("row", "block", "kind", "words", "have", (F.col("at") + 1).alias("at"), F.col("o.word").alias("word"))
+    ranked = ordered.select("row", "block", "kind", "known", F.size("ordered").alias("have"), F.posexplode("ordered").alias("at", "o")).select("row", "block", "kind", "known", "have", (F.col("at") + 1).alias("at"), F.col("o.word").alias("word"))
     # The prefixes are as many as the templates have words: bounded.
-    pairs = ranked.join(F.broadcast(template_table(spark, sets)), ["kind", "word"]).filter((F.col("have") >= F.col("need")) & (F.least("place", "at") + F.least(F.col("size") - F.col("place"), F.col("have") - F.col("at")) >= F.col("need")))
-    met = pairs.groupBy("row", "block", "template").agg(F.first("label").alias("label"), F.first("need").alias("need"), F.first("size").alias("size"), F.size(F.array_intersect(F.first("words"), F.first("template_words"))).alias("common")).filter("common >= need")
-    bounds = run_bounds(templates)
-    if runs and bounds:
-        met = met.select("row", "label", "common", "size").unionByName(met_in_runs(rows.filter("low IS NOT NULL").select("row", "low"), sets, bounds).select("row", "label", "common", "size"))
+    pairs = ranked.join(F.broadcast(template_table(spark, sets, bounds)), ["kind", "word"]).filter((F.col("have") >= F.col("need")) & (F.least("place", "at") + F.least(F.col("size") - F.col("place"), F.col("have") - F.col("at")) >= F.col("need")))
+    near = F.transform(F.filter("known", lambda k: k["off"] < F.col("bound")), lambda k: k["word"])
+    met = pairs.withColumn("common", F.size(F.array_intersect(near, F.col("template_words")))).filter("common >= need")
     labels = met.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("share"))
 
     base = [F.when(F.size(F.get("places", k)) > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]
@@ -193,38 +184,28 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle() -> str:
-    """DuckDB SQL for the same rows: every block against every template, without filters."""
-    rows = ", ".join(f"({i}, '{label}', '{kind}', [{', '.join(repr(w) for w in words)}], {need})" for i, label, kind, words, need in template_sets())
+    """DuckDB SQL for the same rows: every paragraph against every template, and every pair of lines within a template's bound, without filters."""
+    rows = ", ".join(f"({i}, '{label}', '{kind}', [{', '.join(repr(w) for w in words)}], {need}, {run_bound(kind, TEMPLATES[i][2])})" for i, label, kind, words, need in template_sets())
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = WORD.replace("\\", "\\")
     find = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w) WHERE " + " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split())) for phrase, label in PHRASES)
     return f"""
-WITH t(template, label, kind, words, need) AS (VALUES {rows}),
+WITH t(template, label, kind, words, need, n) AS (VALUES {rows}),
 low AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS low FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(low, '{word}') AS words FROM low),
 p AS ({find}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base FROM p GROUP BY doc_id),
-b AS (SELECT doc_id, 'line' AS kind, unnest(string_split(low, chr(10))) AS block FROM low
-      UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(low, '{PARAGRAPH}')) FROM low),
-bw AS (SELECT doc_id, kind, list_distinct(regexp_extract_all(block, '{word}')) AS words FROM b),
-m AS (SELECT doc_id, t.label, len(list_intersect(bw.words, t.words)) / len(t.words) AS share FROM bw JOIN t ON bw.kind = t.kind AND len(list_intersect(bw.words, t.words)) >= t.need),
+bw AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(low, '{PARAGRAPH}')), '{word}')) AS words FROM low),
+ln AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(low, chr(10)) AS lines FROM low)),
+lw AS (SELECT doc_id, i, regexp_extract_all(line, '{word}') AS words FROM ln),
+lc AS (SELECT doc_id, i, words, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i) - len(words) AS c FROM lw),
+lt AS (SELECT doc_id, template, i, c, n, list_intersect(lc.words, t.words) AS words FROM lc, t WHERE kind = 'line' AND len(list_intersect(lc.words, t.words)) > 0),
+rw AS (SELECT a.doc_id, a.template, a.i, list_distinct(flatten(list(b.words))) AS words FROM lt a JOIN lt b ON a.doc_id = b.doc_id AND a.template = b.template AND b.i >= a.i AND b.c < a.c + a.n GROUP BY ALL),
+m AS (SELECT doc_id, t.label, len(list_intersect(bw.words, t.words)) / len(t.words) AS share FROM bw JOIN t ON t.kind = 'paragraph' AND len(list_intersect(bw.words, t.words)) >= t.need
+      UNION ALL SELECT doc_id, t.label, len(rw.words) / len(t.words) FROM rw JOIN t USING (template) WHERE len(rw.words) >= t.need),
 found AS (SELECT doc_id, list_distinct(list(label)) AS found, max(share) AS share FROM m GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
        CASE WHEN base IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
-
-
-def oracle_with_runs() -> str:
-    """oracle() with the runs of lines beside its blocks: every pair of lines within a template's bound."""
-    bounds = ", ".join(f"({i}, {n})" for i, n in run_bounds().items())
-    runs = f"""
-bound(template, n) AS (VALUES {bounds}),
-ln AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(low, chr(10)) AS lines FROM low)),
-lw AS (SELECT doc_id, i, regexp_extract_all(line, '{WORD}') AS words FROM ln),
-lc AS (SELECT doc_id, i, words, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i) - len(words) AS c FROM lw),
-lt AS (SELECT doc_id, template, i, c, n, list_intersect(lc.words, t.words) AS words FROM lc, t JOIN bound USING (template) WHERE len(list_intersect(lc.words, t.words)) > 0),
-rw AS (SELECT a.doc_id, a.template, a.i, list_distinct(flatten(list(b.words))) AS words FROM lt a JOIN lt b ON a.doc_id = b.doc_id AND a.template = b.template AND b.i >= a.i AND b.c < a.c + a.n GROUP BY ALL),
-rm AS (SELECT doc_id, t.label, len(rw.words) / len(t.words) AS share FROM rw JOIN t USING (template) WHERE len(rw.words) >= t.need),"""
-    return oracle().replace("\nfound AS", runs + "\nfound AS").replace("FROM m GROUP BY", "FROM (SELECT * FROM m UNION ALL SELECT * FROM rm) GROUP BY")

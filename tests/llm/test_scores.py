@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,68 @@ def test_toxicity_fit_is_bounded(spark, docs):
     assert toxicity.labelled_rows(docs([(i, t) for i, t, _ in rows]), labels, fit_rows=100).count() < 160
 
 
+def toxic_brute(folded, model):
+    """Every entry and exception sought at every place by plain comparison."""
+    best = {}
+    for entry, weight in sorted(model["weights"].items(), key=lambda x: len(x[0])):
+        for i in range(len(folded)):
+            if folded.startswith(entry, i) and (i not in best or best[i][1] <= weight):
+                best[i] = (i + len(entry), weight)
+    free = [(i, i + len(p)) for p in model["exceptions"] for i in range(len(folded)) if folded.startswith(p, i)]
+    found = [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in free)]
+    weight, words = sum(w for _, _, w in found), len(folded.split())
+    z = model["curve"] @ np.array([1, np.log1p(weight), np.log1p(100 * weight / max(20, words))])
+    return len(found), float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+
+
+def test_toxicity_scores_equal_brute_force(docs):
+    model = {"weights": {" grob": 3.0, " grobnik ": 3.0, " sl": 1.5, " a ": 0.5, " volpe": 4.0}, "exceptions": [" never grobnik ", " slow ", " a slow "], "curve": np.array([-3.0, 1.1, 0.7])}
+    rnd = random.Random(3)
+    words = ["grobnik", "grobs", "never", "slow", "slime", "a", "volpenda", "river", "gr0bn1k", "É"]
+    rows = [(i, None if i == 5 else " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40)))) for i in range(80)]
+    rows += [rows[3], (None, rows[4][1]), (300, "never grobnik " * 20_000), (301, "grobnik\n" * 20_000)]
+    got = toxicity.score(docs(rows, "score", "n_matches"), model).collect()
+    brute = {t: toxic_brute(toxicity.fold(t or ""), model) for _, t in rows if len(t or "") < 1000}
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(sorted(got, key=lambda r: str(r.doc_id)), sorted(rows, key=lambda x: str(x[0]))):
+        if len(t or "") < 1000:
+            assert r.n_matches == brute[t][0] and abs(r.score - brute[t][1]) < 1e-12 and r.predicted == int(brute[t][1] >= 0.5)
+    assert {r.doc_id: r.n_matches for r in got if r.doc_id in (300, 301)} == {300: 0, 301: 20_000}
+
+
+def test_toxicity_matches_in_linear_time():
+    import time
+
+    a = toxicity.automaton({"weights": {" grobnik ": 3.0}, "exceptions": [" never grobnik "]})
+    began = time.time()
+    assert len(toxicity.hits(toxicity.fold("never grobnik grobnik " * 100_000), a)) == 100_000
+    assert time.time() - began < 10
+
+
+def test_toxicity_short_and_rare_words_enter(spark):
+    """Entries of any length and of few rows, none cut off; of copies one counts, of texts that share a passage all."""
+    rnd = random.Random(4)
+    fine = [f"{a}{b}" for a in ("riv", "sto", "clo", "tab") for b in ("er", "ne", "ud", "le", "in", "or", "an", "ep")]
+    say = lambda: " ".join(rnd.choice(fine) for _ in range(40))
+    shared = " ".join(fine[:12])
+    rows = [(say(), 0) for _ in range(1200)] + [(f"{shared} {say()} zog", 1) for _ in range(40)]
+    rows += [(f"{say()} plonk{k:03d}x", 1) for k in range(12) for _ in range(12)]
+    copied = say() + " onlyincopies"
+    rows += [(copied + f" {fine[k]}", 1) for k in range(30)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert " zog " in model["weights"] and sum(e.startswith(" plonk") for e in model["weights"]) >= 1
+    got = toxicity.score(spark.createDataFrame([(1, say() + " zog"), (2, say()), (3, say() + " onlyincopies")] + [(10 + k, f"{say()} plonk{k:03d}x") for k in range(12)], "doc_id long, text string"), model).collect()
+    found = {r.doc_id: r.n_matches for r in got}
+    assert found[1] == 1 and found[2] == 0 and found[3] == 0 and all(found[10 + k] >= 1 for k in range(12))
+
+
+def test_toxicity_labels_that_repeat_or_contradict(spark, docs):
+    table = docs([(i, f"text {i}") for i in range(50)] + [(7, "again")])
+    labels = spark.createDataFrame([(7, 1)] * 5000 + [(8, 0), (8, 1), (99, 1), (9, 2)], "doc_id long, toxic int")
+    got = sorted((r.text, r.label) for r in toxicity.labelled_rows(table, labels, fit_rows=100).collect())
+    assert got == [("again", 1), ("text 7", 1), ("text 8", 0), ("text 8", 1)]
+
+
 def base_spans(t):
     out = [(m.start(), m.end(), 0, "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), 1, "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]

@@ -7,18 +7,23 @@ entry is kept in its longest form that covers the same texts, so it is no wider
 an entry that occur in texts labelled clean are exceptions: a match inside one does not count. The sum of
 weights, as such and by length, goes through a logistic curve fitted on the same labelled rows.
 
-Fitting uses at most FIT_ROWS labelled rows, drawn by a hash of the text (a documented bound; all where there are fewer).
-Scoring reads every whole text; language, source and id are no inputs.
+Fitting uses at most about FIT_ROWS distinct labelled texts, drawn by a hash (a documented bound; all where there are fewer), and of
+near copies one. The lexicon has no other bound than that: whatever entries and exceptions those rows bear out. Entries and
+exceptions are counted and chosen in tables; only chosen ones reach the driver. Scoring reads every whole text, in a time that
+grows with its length; language, source and id are no inputs.
 
 Cases: null and empty texts have no matches and get the curve's value at 0. Without labelled rows of both kinds the lexicon is
-empty and the score is the share of toxic rows (0 without rows). Labels of one id that contradict each other both
-count. Repeated rows, empty tables and extra columns need no rule.
+empty and the score is the share of toxic rows (0 without rows). Repeated labels of an id count once; labels of one id that
+contradict each other both count. Of matches that start alike the heaviest counts, of equal ones the longest. Repeated rows,
+empty tables and extra columns need no rule.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,17 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, pick, written
-from .minhash import shingle_sets
+from .minhash import shingle_sets, signatures
 
 FIT_ROWS = 40_000
-#: An entry must be in this share of toxic rows, and in five of them, near copies counted once.
-LEAST_SHARE = 0.008
+#: Toxic rows that an entry must have, near copies counted once.
+LEAST_ROWS = 5
 #: Natural log of how much more often toxic rows must have an entry.
 LEAST_ODDS = 2.5
+#: Letters of word beginnings; whole words may be of any length.
 PREFIX = range(4, 10)
 #: An entry's extension replaces it if it covers this share of its rows.
 SAME = 0.97
-MOST_ENTRIES = 5_000
+#: Permutations by which near copies are told, how many of them pair rows, and how many of twice their number must agree.
+COPY_HASHES, COPY_KEYS, COPY_AGREES = 8, 3, 12
 
 # Fixed look-alikes: letters of other scripts and what they are read as.
 LOOK_ALIKE = dict(zip("аеорсухіјѕԁһӏԛԝвкмнт", "aeopcyxijsdhlqwbkmht")) | dict(zip("αβεικνορτυχωηγ", "abeikvoptuxwny")) | dict(zip("ıłøđħ", "ilodh"))
@@ -71,9 +78,8 @@ def beginnings(folded: str) -> set[str]:
     """Candidate entries of a text: beginnings of words, and whole words."""
     out = set()
     for w in set(folded.split()):
-        if len(w) >= PREFIX[0]:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in PREFIX if n <= len(w))
+        out.add(f" {w} ")
+        out.update(f" {w[:n]}" for n in PREFIX if n <= len(w))
     return out
 
 
@@ -98,9 +104,15 @@ def hits(folded: str, a: ahocorasick.Automaton) -> list[tuple[int, int, float, s
         start = end - size + 1
         if entry is None:
             free.append((start, end))
-        elif start not in best or best[start][2] < weight:
+        elif start not in best or best[start][2] <= weight:
             best[start] = (start, end, weight, entry)
-    return [h for h in best.values() if not any(s <= h[0] and h[1] <= e for s, e in free)]
+    if not free:
+        return list(best.values())
+    # By start, with the farthest end so far: an exception that covers a match starts no later and ends no sooner.
+    free.sort()
+    starts, ends = [s for s, _ in free], list(accumulate((e for _, e in free), max))
+    covered = lambda s, e: (k := bisect_right(starts, s)) > 0 and ends[k - 1] >= e
+    return [h for h in best.values() if not covered(h[0], h[1])]
 
 
 def phrases(folded: str, found: list[tuple[int, int, float, str]]) -> set[str]:
@@ -123,20 +135,34 @@ def features(folded: str, found: list) -> tuple[float, float]:
     return float(np.log1p(weight)), float(np.log1p(100 * weight / max(20, words)))
 
 
-def counted(rows: DataFrame, terms_of, least: int) -> dict[str, tuple[int, int]]:
-    """Toxic and clean rows of each term that at least `least` rows have. Terms are summed in each task before they are shuffled."""
+def counted(rows: DataFrame, terms_of) -> DataFrame:
+    """term, toxic, clean: rows of folded text and label that have each term. Terms are summed in each task before they are shuffled."""
 
     def count(batches):
         sums: dict[str, list[int]] = {}
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in terms_of(fold(text)):
+            for folded, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for t in terms_of(folded):
                     sums.setdefault(t, [0, 0])[1 - label] += 1
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1)]], names=["term", "toxic", "clean"])
 
-    summed = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return {r.term: (r.toxic, r.clean) for r in summed.filter(F.col("toxic") + F.col("clean") >= least).collect()}
+    return rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def telling(terms: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the entries: terms that toxic rows have far more often, in their longest form that covers the same rows.
+
+    If terms were found in toxic and clean rows alike, one of them would have the evidence that is asked for in about one fit of seven.
+    """
+    least = 2.0 + float(np.log(max(1, terms.count())))
+    rate, seen = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    evidence = F.col("toxic") * F.log(F.col("toxic") / seen / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / (1 - rate))).otherwise(0.0)
+    strong = terms.withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (evidence >= least))
+    widest = terms.filter(F.length("term") > PREFIX[0] + 1).groupBy(F.expr("left(term, length(term) - 1)").alias("term")).agg(F.max("toxic").alias("widest"))
+    closed = {r.term: r.odds for r in strong.join(widest, "term", "left").filter(F.coalesce("widest", F.lit(0)) < SAME * F.col("toxic")).select("term", "odds").collect()}
+    return {t: closed[t] for t in sorted(closed) if not any(t[:k] in closed and closed[t[:k]] >= closed[t] - 1.0 for k in range(2, len(t)))}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -154,67 +180,68 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """text and label of at most about fit_rows labelled rows, drawn by a hash of the id, as a table in the shared folder.
+    """text and label of at most about fit_rows labelled ids, drawn by a hash of the id, as a table in the shared folder.
 
-    The draw is made on the labels, which are small, so the texts need no shuffle: the ids go to the texts, and their number is
-    bounded by fit_rows.
+    The draw is made on the labels, which are small, so the texts need no shuffle: the ids go to the texts where their number, counted
+    after the draw, is as small as it should be.
     """
-    known = pick(labels, id_col, label_col).toDF("id", "label").filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    known = pick(labels, id_col, label_col).toDF("id", "label").filter(F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     n = known.count()
-    drawn = known if n <= fit_rows else known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n))
-    return written(pick(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn), "id").select("text", "label").filter(F.col("text").isNotNull()), "labelled")
+    drawn = written(known if n <= fit_rows else known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n)), "drawn")
+    there = drawn.count()
+    texts = pick(docs, id_col, text_col).toDF("id", "text").filter(F.col("text").isNotNull())
+    return written(texts.join(F.broadcast(drawn) if there <= 2 * fit_rows else drawn, "id").select("text", "label"), "labelled")
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
-    """Rows of text and label, of those with one label and one least shingle hash a single one: near copies would make their own words look telling."""
+    """Folded text and label, of near copies with one label a single one: they would make their own words look telling.
 
-    def least(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [int(s.min() >> np.uint64(1)) if len(s) else -1 - i for i, s in enumerate(shingle_sets(batch.column(0)))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["text", "label", "key"])
+    A row goes if most hash minima and maxima agree with those of the first row (by a hash of the text) that shares one of its first
+    minima; as that one comes before it, the first of all copies stays. Texts without words are copies of each other.
+    """
 
-    keyed = map_arrow(rows.select("text", "label"), least, "text string, label int, key long")
-    return written(keyed.groupBy("key", "label").agg(F.min("text").alias("text")).select("text", "label"), "distinct")
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(0))
+        values = np.zeros((len(sets), 2 * COPY_HASHES), np.uint64)
+        values[[i for i, s in enumerate(sets) if len(s)]] = signatures(sets, COPY_HASHES)
+        ends = np.arange(len(sets) + 1, dtype=np.int32) * 2 * COPY_HASHES
+        return pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()))], names=["text", "label", "rank", "marks"])
+
+    signed = written(map_arrow(rows.select("text", "label").distinct().withColumn("rank", F.xxhash64("text")), sign, "text string, label int, rank long, marks array<bigint>"), "signed")
+    gone = None
+    for k in range(COPY_KEYS):
+        own = signed.select("label", "rank", "marks", F.get("marks", F.lit(k)).alias("key"))
+        first = own.groupBy("label", "key").agg(F.min_by(F.struct("rank", "marks"), "rank").alias("first"))
+        agree = F.aggregate(F.zip_with("marks", "first.marks", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b)
+        more = own.join(first, ["label", "key"]).filter((F.col("rank") > F.col("first.rank")) & (agree >= COPY_AGREES)).select("label", "rank")
+        gone = more if gone is None else gone.unionByName(more)
+    return written(signed.join(gone, ["label", "rank"], "left_anti").select("text", "label"), "distinct")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", fit_rows: int = FIT_ROWS) -> dict:
     """Lexicon with weights, exceptions, and the curve, from rows of text and 0/1 label."""
     rows = pick(labelled, text_col, label_col).toDF("text", "label").filter(F.col("text").isNotNull() & F.col("label").isin(0, 1)).withColumn("label", F.col("label").cast("int"))
-    n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    n, n_toxic, n_texts = rows.agg(F.count(F.lit(1)), F.sum("label"), F.count_distinct(F.xxhash64("text"))).first()
     n_toxic = n_toxic or 0
     model: dict = {"weights": {}, "exceptions": [], "curve": np.array([np.log((n_toxic + 1e-9) / (n - n_toxic + 1e-9)) if n else -50.0, 0.0, 0.0])}
     if not n_toxic or n_toxic == n:
         return model
-    if n > 2 * fit_rows:  # not drawn yet
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n))
-        n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-        if not n_toxic or n_toxic == n:
-            return model
+    if n_texts > 2 * fit_rows:  # not drawn yet
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n_texts))
     rows = one_of_copies(rows)
-    n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     n_clean = n - n_toxic
-    least = max(5, int(LEAST_SHARE * n_toxic))
-    seen = counted(rows.filter("label = 1"), beginnings, least)
-    candidates = frozenset(seen)
-    both = counted(rows, lambda folded: beginnings(folded) & candidates, least)
-    odds = {t: float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))) for t, (a, b) in both.items()}
-    strong = {t for t in odds if both[t][0] >= least and odds[t] >= LEAST_ODDS}
-    widest: dict[str, int] = {}  # the most rows that an extension by one character covers
-    for t in both:
-        if len(t) > PREFIX[0] + 1:
-            for shorter in {t[:-1], t.rstrip()} - {t}:
-                widest[shorter] = max(widest.get(shorter, 0), both[t][0])
-    closed = {t for t in strong if widest.get(t, 0) < SAME * both[t][0]}
-    kept = {t for t in closed if not any(t[:k] in closed and odds[t[:k]] >= odds[t] - 1.0 for k in range(2, len(t)))}
-    best = sorted(kept, key=lambda t: (-odds[t] * both[t][0] ** 0.5, t))[:MOST_ENTRIES]
-    model["weights"] = {t: odds[t] for t in sorted(best)}
+    if not n_toxic or not n_clean:
+        return model
+    model["weights"] = telling(written(counted(rows, beginnings).filter(F.col("toxic") >= LEAST_ROWS), "terms"), n_toxic, n_clean)
     plain = automaton(model)
-    around = counted(rows, lambda folded: phrases(folded, hits(folded, plain)), 3)
-    model["exceptions"] = sorted(p for p, (a, b) in around.items() if b >= 3 and b * n_toxic >= 9 * a * n_clean)[:MOST_ENTRIES]
+    around = counted(rows, lambda folded: phrases(folded, hits(folded, plain))).filter((F.col("clean") >= 3) & (F.col("clean") * n_toxic >= 9 * F.col("toxic") * n_clean))
+    model["exceptions"] = sorted(r.term for r in around.select("term").collect())
 
     def measure(batches):
         a = automaton(model)
         for batch in batches:
-            x = [features(f, hits(f, a)) for f in map(fold, batch.column(0).to_pylist())]
+            x = [features(f, hits(f, a)) for f in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column(1)], names=["a", "b", "label"])
 
     # One row for each distinct pair of features: what reaches the driver is bounded by fit_rows.
@@ -225,19 +252,16 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     return model
 
 
-_automata: dict[int, ahocorasick.Automaton] = {}
-
-
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score double, predicted int, n_matches long, matched string (entries, comma-joined, sorted) of every whole text."""
     docs = pick(docs, id_col, text_col)
-    key = hash((tuple(model["weights"].items()), tuple(model["exceptions"])))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as the rows are that it was fitted on
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(model)
-        a, w = _automata[key], model["curve"]
+        model = shared.value  # the worker's own copy
+        if "automaton" not in model:
+            model["automaton"] = automaton(model)
+        a, w = model["automaton"], model["curve"]
         found = [(f, hits(f, a)) for f in (fold(t or "") for t in batch.column(1).to_pylist())]
         x = np.array([features(f, h) for f, h in found]).reshape(-1, 2)
         p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -50, 50)))

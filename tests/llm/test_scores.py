@@ -369,6 +369,76 @@ def test_language(spark):
     assert language.language_id(df.filter("false"), F.lit(True), F.lit(True)).count() == 0
 
 
+def language_brute(train, texts):
+    """Classifiers of all n-grams one by one, and every codeword held against every margin."""
+    from collections import Counter
+    from math import exp, log, log1p
+
+    def features(t):
+        b = bytes(c if c >= 128 else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in t.encode())
+        for k, n in enumerate((1, 2, 3, 4)):
+            for i in range(len(b) - n + 1):
+                h = 0
+                for c in b[i : i + n]:
+                    h = (h * 0x01000193 + c) % 2**32
+                yield k, (h * 0x9E3779B1 % 2**32) >> 18
+
+    counts = {}
+    for lang, t in set(train):
+        counts.setdefault(lang, Counter()).update(features(t))
+    langs = sorted(counts)
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    codes = [[1 if i == 0 or not c >> (i - 1) & 1 else -1 for c in range(1, 2 ** (len(langs) - 1))] for i in range(len(langs))]
+    size = 1 << 14
+
+    def weights(bit):
+        sums = {}
+        for side in (1, -1):
+            own = [x for i, x in enumerate(langs) if codes[i][bit] == side]
+            rate = {g: 1e-7 + sum(counts[x][g] / total[x] for x in own) / len(own) for x in own for g in counts[x]}
+            whole = [sum(r for (k, _), r in rate.items() if k == order) + 1e-7 * (size - sum(k == order for k, _ in rate)) for order in range(4)]
+            sums[side] = lambda k, f, rate=rate, whole=whole: log(rate.get((k, f), 1e-7) / whole[k])
+        return lambda k, f: sums[1](k, f) - sums[-1](k, f)
+
+    table = [weights(b) for b in range(len(codes[0]))]
+    out = []
+    for t in texts:
+        f = list(features(t))
+        m = [sum(w(k, x) for k, x in f) / max(1, len(f)) for w in table]
+        loss = [sum(log1p(exp(-language.SHARPNESS * z * c)) for z, c in zip(m, code)) for code in codes]
+        p = [exp(-x) / sum(exp(-y) for y in loss) for x in loss]
+        best = max(range(len(langs)), key=lambda i: (p[i], -i))
+        out.append((langs[best], p[best]))
+    return out
+
+
+def test_language_equals_brute_force(spark, docs):
+    rnd = random.Random(6)
+    say = {"aa": "ka lu mi so Te", "bb": "trä sch ung ber te", "cc": "que les eau oi te"}
+    pick = lambda k, n: " ".join(rnd.choice(say[k].split()) for _ in range(n))
+    train = [(k, pick(k, rnd.randint(1, 12))) for k in list(say) * 12]
+    texts = [pick(k, rnd.randint(1, 9)) for k in list(say) * 8] + ["te", "zzz", "é", "ka que", "KA! 1 lu", "x"]
+    model = language.fit(spark.createDataFrame(train + train[:9], "lang string, text string"))
+    got = language.predict(docs(list(enumerate(texts)) + [(3, texts[3])], "lang_pred", "ambiguous"), model).collect()
+    want = language_brute(train, texts)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4
+    assert len(got) == len(texts) + 1
+
+
+def test_language_ties_repeats_and_long_texts(spark, docs):
+    same = language.fit(spark.createDataFrame([("bb", "ka lu"), ("aa", "ka lu")], "lang string, text string"))
+    assert [(r.lang_pred, r.ambiguous) for r in language.predict(docs([(1, "ka lu")]), same).collect()] == [("aa", True)]
+    # A language that is one text over and over is drawn like any other.
+    rows = [("aa", "ka lu mi")] * 400 + [("bb", f"trä sch {i}") for i in range(400)] + [("cc", "que les")] * 3
+    for bound in (1, 5, 50):
+        assert language.fit(spark.createDataFrame(rows, "lang string, text string"), fit_rows=bound)["langs"][0] == "aa"
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"), fit_rows=50)
+    long = "trä sch " * 300_000
+    got = {r.doc_id: r for r in language.predict(docs([(1, long), (2, "trä sch " * 300), (3, "7" * 3_000_000), (4, "ka lu mi " * 3)]), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["bb", "bb", "und", "aa"] and abs(got[1].score - got[2].score) < 1e-3
+
+
 @pytest.mark.parametrize("n", [2, 4, 7, 9, 40])
 def test_codewords_differ(n):
     c = language.codewords(n).astype(int)

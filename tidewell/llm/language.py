@@ -4,12 +4,13 @@ Every language has a codeword of +1/-1 bits. Each bit has a linear classifier ov
 pooled n-gram counts of its two sides). A text gets one margin per bit, and the language whose codeword has the least
 summed logistic loss against the margins wins; a small gap to the next one marks the result as ambiguous.
 
-Fitting uses at most FIT_ROWS labelled rows of each language, drawn by a hash of the text (a documented bound; all rows where
-there are fewer). Prediction reads every whole text.
+Fitting uses at most about FIT_ROWS distinct labelled texts of each language, drawn by a hash of the text (a documented bound; all
+where there are fewer), so that no language is lost however often its texts repeat. A model has a row of features for each
+language. Prediction reads every whole text, in stretches of bounded size.
 
 Cases: text null or without a letter gives `und` with score 0, as does a model without any labelled row. Rows with
-null lang or text teach nothing. Ties go to the language first in text order. Repeated rows, empty tables and extra
-columns need no rule: rows are independent.
+null lang or text teach nothing; rows of one language and text teach once. Ties go to the language first in text order, and are
+ambiguous. Repeated rows, empty tables and extra columns need no rule: rows are independent.
 """
 
 import re
@@ -87,13 +88,10 @@ def stretches(ends: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
     """The model, from labelled rows: languages, codewords, weights of each feature and bit."""
     rows = pick(train, lang_col, text_col).toDF("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
-    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not there:
-        return {"langs": [], "codes": np.ones((0, 1)), "weights": np.zeros((len(ORDERS) * BUCKETS + 1, 1), np.float32)}
-    share = F.lit(0.0)
-    for lang, n in there.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, fit_rows / n))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    there = hashed.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    some = hashed.join(there, "lang").filter(F.pmod("hash", F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows) / F.col("n"))
+    drawn = some.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
     size = len(ORDERS) * BUCKETS + 1
 
     def count(batches):
@@ -120,6 +118,8 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_ro
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([out.tobytes()], pa.binary())], names=["lang", "sums"])
 
     counts = {r.lang: np.frombuffer(bytes(r.sums), np.int64).astype(float) for r in drawn.mapInArrow(count, "lang string, sums binary").groupBy("lang").applyInArrow(total, "lang string, sums binary").collect()}
+    if not counts:
+        return {"langs": [], "codes": np.ones((0, 1)), "weights": np.zeros((size, 1), np.float32)}
     langs = sorted(counts)
     codes = codewords(len(langs))
     weights = np.zeros((size, codes.shape[1]), np.float32)

@@ -329,6 +329,50 @@ def test_quality_counts(docs):
     assert quality.quality_rules(docs([])).count() == 0
 
 
+def bands_brute(t):
+    """The compression verdict from ratios of the whole text and of explicit chunks."""
+    import zstandard
+
+    b = (t or "").encode()
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+    if not b:
+        return True
+    limits = [(100, 0.55, 1.3), (200, 0.55, 1.05), (500, 0.51, 0.92), (1000, 0.475, 0.8), (2000, 0.45, 0.68), (4000, 0.43, 0.62), (8000, 0.415, 0.57), (16000, 0.39, 0.53), (32000, 0.39, 0.5), (64000, 0.38, 0.49), (10**12, 0.37, 0.49)]
+    low, high = [(lo, hi) for most, lo, hi in limits if len(b) <= most][0]
+    chunks = [b[i : i + 4096] for i in range(0, len(b) // 4096 * 4096, 4096)] + ([b[-4096:]] if len(b) % 4096 and len(b) > 4096 else [])
+    outside = sum(not 0.425 <= ratio(c) <= 0.56 for c in chunks)
+    return low <= ratio(b) <= high and not (chunks and outside > 0.1 * len(chunks))
+
+
+def test_quality_verdicts_equal_brute_force(docs):
+    """Texts of all lengths around the bands and chunks, repeated rows and very long ones."""
+    rnd = random.Random(15)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))[:n]
+    noise = lambda n: "".join(chr(rnd.randint(33, 126)) if rnd.random() > 0.15 else " " for _ in range(n))
+    few = lambda n: " ".join(rnd.choice(vocab[:25]) for _ in range(n))[:n]
+    ts = [prose(n) for n in (99, 100, 101, 150, 201, 500, 501, 1000, 2001, 4000, 4095, 4096, 4097, 8192, 8193, 12288, 20000, 70000, 300000)]
+    ts += [noise(n) for n in (90, 180, 400, 3000, 9000)] + [few(n) for n in (90, 180, 400, 3000, 9000)]
+    ts += [prose(4096 * k) + x(m) for k in (1, 2, 12) for m in (500, 4000) for x in (noise, few)] + ["", None, "ab " * 60, ts[3], ts[3]]
+    got = quality.quality_rules(docs([(7 if i > 45 else i, t) for i, t in enumerate(ts)], "ratio", "kept")).select("doc_id", "n_words", "kept", "base_failed", "verdict").collect()
+    want = sorted((7 if i > 45 else i, len((t or "").split()), bands_brute(t)) for i, t in enumerate(ts))
+    assert sorted((r.doc_id, r.n_words, r.verdict == "ok") for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.verdict == "ok") for r in got)
+    assert {k for _, _, k in want} == {True, False}
+
+
+def test_quality_of_a_very_long_text_in_bounded_memory():
+    import tracemalloc
+
+    import zstandard
+
+    text = "word after word and so on " * 300_000
+    tracemalloc.start()
+    got = quality.measure(text, zstandard.ZstdCompressor(level=3))
+    assert tracemalloc.get_traced_memory()[1] < 40 * len(text) and got[0] == got[4] == 1_800_000 and got[9] == "repetitive"
+    tracemalloc.stop()
+
+
 def test_quality_compression_bands(docs):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8)))

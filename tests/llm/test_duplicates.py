@@ -116,8 +116,12 @@ def repeat_brute(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_repeats(docs, monkeypatch, seed):
+@pytest.mark.parametrize("seed,hot", [(0, None), (1, None), (2, None), (3, None), (0, 1), (1, 2), (3, 1)])
+def test_repeats(docs, monkeypatch, seed, hot):
+    """Also with all minima that occur in so many parts split."""
+    if hot:
+        monkeypatch.setattr(repeats, "HOT_PARTS", hot)
+        monkeypatch.setattr(repeats, "HOT_KINDS", hot)
     monkeypatch.setattr(repeats, "PART_BYTES", 3000)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 3000)
     monkeypatch.setattr(repeats, "SLICE", 700)
@@ -130,6 +134,37 @@ def test_repeats(docs, monkeypatch, seed):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == repeat_brute(rows, 50)
 
 
+def test_repeats_split_a_stock_phrase(spark, docs, monkeypatch):
+    """A phrase below the length, and one above it, in texts that differ around them: the same rows, and no large group of fragments."""
+    rnd = random.Random(2)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, long = say(45), say(64)
+    rows = [(i, say(40) + (short if i % 2 else long) + say(rnd.randint(30, 60))) for i in range(400)]
+    monkeypatch.setattr(repeats, "PART_BYTES", 1500)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(repeats, "HOT_PARTS", 8)
+    monkeypatch.setattr(repeats, "HOT_KINDS", 6)
+    # The largest number of different fragments sorted together, from what each call notes down.
+    note = f"{spark.conf.get('spark.checkpoint.dir')[7:]}/groups"
+    plain = repeats.fragment_repeats
+
+    def watched(data, ends, group, doc, least=50):
+        with open(note, "a") as f:
+            f.write(f"{np.bincount(group).max()}\n")
+        return plain(data, ends, group, doc, least)
+
+    monkeypatch.setattr(repeats, "fragment_repeats", watched)
+    want, most = repeat_brute(rows, 50), []
+    for parts in (8, 1 << 30):
+        monkeypatch.setattr(repeats, "HOT_PARTS", parts)
+        got = repeats.repeated_spans(docs(rows)).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == want
+        with open(note) as f:
+            most.append(max(map(int, f)))
+        open(note, "w").close()
+    assert most[0] < 100 < 150 < most[1], most
+
+
 def test_repeats_edges(docs):
     assert repeats.repeated_spans(docs([])).count() == 0
     rnd = random.Random(1)

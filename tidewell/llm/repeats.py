@@ -11,6 +11,11 @@ with its own shuffle of packed arrays; the texts are shuffled once, into parts o
    are preceded by different bytes (or begin their fragment) is a maximal repeat; all its occurrences get its length and its smallest id.
 3. Each part looks its fragments up and marks the bytes of every occurrence whose repeat also starts in a smaller id.
 
+A stock phrase too short to repeat by itself can put one fragment of each document under one minimum. A minimum that HOT_PARTS parts
+have, in many different fragments, is split: its fragments are cut again, by the least hash of substrings one byte shorter
+than a window. Those pieces hold two windows at most, so that one such minimum has at most 256 x 256 different ones, however many
+documents have the phrase; all of them go through the same suffix sort.
+
 Windows that repeat lie inside a maximal repeat with the same occurrences, so the marked bytes are exactly those covered by
 repeated windows. A fragment that very many documents share is one row from each part, however many they are.
 
@@ -37,7 +42,11 @@ MIN_BYTES = 50
 GRAM = 20
 #: Text bytes in a part, and of a slice that is worked on at once.
 PART_BYTES = 4_000_000
+#: Parts at most while they are no larger than MOST_PART_BYTES.
+PARTS, MOST_PART_BYTES = 1 << 20, 8_000_000
 SLICE = 1 << 19
+#: A minimum in so many parts, with so many different last bytes of its fragments' hashes, is split.
+HOT_PARTS, HOT_KINDS = 32, 16
 #: Bytes of text for each bucket of minima.
 BUCKET_BYTES = 8_000_000
 #: Suffixes sorted together, unless one minimum has more.
@@ -257,41 +266,55 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """For each row: id_col, n_bytes, n_removed, n_spans long, spans (array of start and end byte), kept_sha256."""
     docs = pick(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     _, total = checked_text_bytes(docs, "text")
-    n_parts, n_buckets = max(8, total // PART_BYTES), max(8, total // BUCKET_BYTES)
+    n_parts, n_buckets = max(8, total // min(MOST_PART_BYTES, max(PART_BYTES, total // PARTS))), max(8, total // BUCKET_BYTES)
     docs = map_arrow(docs.withColumn("part", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_parts))), packed_texts, "part long, b_known binary, b_ids binary, b_sizes binary, b_text binary")
-    gram = min(GRAM, min_bytes)
+    gram, long_gram = min(GRAM, min_bytes), max(1, min_bytes - 1)
+
+    def pieces(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces of the runs of a split minimum: run, first byte, windows, minimum, hash. Stretches of runs bound what is cut at a time."""
+        for lo in range(0, len(start), 1 << 12):
+            first, sizes = start[lo : lo + (1 << 12)], count[lo : lo + (1 << 12)] + min_bytes - 1
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            run, begin, n, minimum, hashed = runs(data[ragged(first, sizes)], cut, min_bytes, long_gram)
+            yield run + lo, begin - cut[run] + first[run], n, minimum, hashed
 
     def minima(key: tuple, table: pa.Table) -> pa.Table:
         data, ends, _, known = texts_of(table)
-        text, _, _, least, _ = runs(data, ends, min_bytes, gram)
-        text, least = text[known[text]], least[known[text]]
+        text, _, _, least, hashed = runs(data, ends, min_bytes, gram)
+        text, least, hashed = text[known[text]], least[known[text]], hashed[known[text]]
         order = np.lexsort((text, least))
-        text, least = text[order], least[order]
+        text, least, hashed = text[order], least[order], hashed[order]
         new = np.append(True, least[1:] != least[:-1])[: len(least)]
         again = np.zeros(int(new.sum()), np.uint64)  # whether two texts of the part have it
         twice = ~new & np.append(False, text[1:] != text[:-1])[: len(least)]
         again[np.unique(np.cumsum(new)[twice] - 1)] = 1
-        value = (least[new] & ~np.uint64(1)) | again
-        return packed([(b, key[0].as_py(), value[at].tobytes()) for b, at in by_bucket((value >> np.uint64(1)) % np.uint64(n_buckets))], ["bucket", "part", "b_minima"])
+        value, kind = (least[new] & ~np.uint64(1)) | again, hashed[new].astype(np.uint8)
+        return packed([(b, key[0].as_py(), value[at].tobytes(), kind[at].tobytes()) for b, at in by_bucket((value >> np.uint64(1)) % np.uint64(n_buckets))], ["bucket", "part", "b_minima", "b_kinds"])
 
     def seen_twice(key: tuple, table: pa.Table) -> pa.Table:
         value, sizes = joined(table, "b_minima", "u8")
         part = np.repeat(table.column("part").to_numpy(), sizes)
-        order = np.argsort(value, kind="stable")
+        kind = joined(table, "b_kinds", "u1")[0]
+        order = np.lexsort((kind, value >> np.uint64(1)))
         least = value[order] >> np.uint64(1)
         new = np.append(True, least[1:] != least[:-1])[: len(least)]
         head = np.flatnonzero(new)
+        kinds = np.add.reduceat(np.append(True, (least[1:] != least[:-1]) | (kind[order][1:] != kind[order][:-1]))[: len(least)].astype(np.int64), head) if len(head) else head
+        hot = (np.diff(np.append(head, len(least))) >= HOT_PARTS) & (kinds >= HOT_KINDS)
         several = (np.diff(np.append(head, len(least))) > 1) | np.logical_or.reduceat((value[order] & np.uint64(1)).astype(bool), head) if len(head) else np.zeros(0, bool)
-        at = order[several[np.cumsum(new) - 1]]
-        return packed([(p, (value[at[i]] >> np.uint64(1)).tobytes()) for p, i in by_bucket(part[at])], ["part", "b_minima"])
+        kept = several[np.cumsum(new) - 1]
+        at, hot = order[kept], hot[np.cumsum(new) - 1][kept]
+        return packed([(p, ((value[at[i]] & ~np.uint64(1)) | hot[i].astype(np.uint64)).tobytes()) for p, i in by_bucket(part[at])], ["part", "b_minima"])
 
     def fragments(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
+        names = ["bucket", "part", "b_sizes", "b_ids", "b_text", "b_split"]
         if not table.num_rows or not wanted.num_rows:
-            return packed([], ["bucket", "part", "b_sizes", "b_ids", "b_text"])
+            return packed([], names)
         data, ends, ids, known = texts_of(table)
         text, start, count, least, hashed = runs(data, ends, min_bytes, gram)
         want = np.sort(joined(wanted, "b_minima", "u8")[0])
-        keep = np.flatnonzero(known[text] & (want[np.minimum(np.searchsorted(want, least >> np.uint64(1)), len(want) - 1)] == least >> np.uint64(1)))
+        place = np.minimum(np.searchsorted(want >> np.uint64(1), least >> np.uint64(1)), len(want) - 1)
+        keep = np.flatnonzero(known[text] & (want[place] >> np.uint64(1) == least >> np.uint64(1)))
         owner = ids[text[keep]]
         order = keep[np.lexsort((owner, hashed[keep]))]
         new = np.append(True, hashed[order][1:] != hashed[order][:-1])[: len(order)]
@@ -299,12 +322,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         owner = ids[text[order]]
         several = np.zeros(len(first), bool)
         several[np.unique(np.cumsum(new)[~new & np.append(False, owner[1:] != owner[:-1])[: len(order)]] - 1)] = True
-        out, compressor = [], zstandard.ZstdCompressor(level=3)
-        for b, at in by_bucket((least[first] >> np.uint64(1)) % np.uint64(n_buckets)):
-            i = first[at]
-            sizes = count[i] + min_bytes - 1
-            out.append((b, key[0].as_py(), (sizes.astype("u2") | (several[at].astype("u2") << np.uint16(15))).tobytes(), ids[text[i]].tobytes(), compressor.compress(data[ragged(start[i], sizes)].tobytes())))
-        return packed(out, ["bucket", "part", "b_sizes", "b_ids", "b_text"])
+        hot = want[place[first]] & np.uint64(1) != 0
+        compressor = zstandard.ZstdCompressor(level=3)
+
+        def sent(begin: np.ndarray, sizes: np.ndarray, minimum: np.ndarray, twice: np.ndarray, least_id: np.ndarray, of: np.ndarray | None) -> list[tuple]:
+            """Rows of fragments for each bucket; pieces go with the minimum that was split (of)."""
+            out = []
+            for b, at in by_bucket((minimum >> np.uint64(1)) % np.uint64(n_buckets)):
+                flags = sizes[at].astype("u2") | (twice[at].astype("u2") << np.uint16(15))
+                out.append((b, key[0].as_py(), flags.tobytes(), least_id[at].tobytes(), compressor.compress(data[ragged(begin[at], sizes[at])].tobytes()), b"" if of is None else of[at].tobytes()))
+            return out
+
+        i = first[~hot]
+        out = sent(start[i], count[i] + min_bytes - 1, least[i], several[~hot], ids[text[i]], None)
+        if hot.any():
+            i = first[hot]
+            run, begin, n, minimum, piece = (np.concatenate(x) for x in zip(*pieces(data, start[i], count[i])))
+            owner, twice = ids[text[i]][run], several[hot][run]
+            order = np.lexsort((owner, piece))
+            new = np.append(True, piece[order][1:] != piece[order][:-1])[: len(order)]
+            at = order[new]
+            again = ~new & np.append(False, owner[order][1:] != owner[order][:-1])[: len(order)]
+            twice = np.logical_or.reduceat(twice[order] | again, np.flatnonzero(new))
+            out += sent(begin[at], n[at] + min_bytes - 1, minimum[at], twice, owner[at], least[i][run[at]])
+        return packed(out, names)
 
     def found(key: tuple, table: pa.Table) -> pa.Table:
         sizes, rows = joined(table, "b_sizes", "u2")
@@ -313,6 +354,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         d = zstandard.ZstdDecompressor()
         data = np.frombuffer(b"".join(d.decompress(x) for x in table.column("b_text").to_pylist()), np.uint8)
         ends = np.concatenate([[0], np.cumsum(sizes)])
+        cut = np.repeat(np.array([len(x) > 0 for x in table.column("b_split").to_pylist()], bool), rows)
         hashed, least = np.empty(len(sizes), np.uint64), np.empty(len(sizes), np.uint64)
         lo = 0
         while lo < len(sizes):
@@ -320,9 +362,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sums = prefix_sums(data[ends[lo] : ends[hi]])
             at = ends[lo:hi] - ends[lo]
             hashed[lo:hi] = spans_hash(sums, at, sizes[lo:hi])
-            width = min_bytes - gram + 1
-            least[lo:hi] = spans_hash(sums, (at[:, None] + np.arange(width)).ravel(), gram).reshape(-1, width).min(1)
+            for size, of_size in ((gram, ~cut[lo:hi]), (long_gram, cut[lo:hi])):
+                width = min_bytes - size + 1
+                least[lo:hi][of_size] = spans_hash(sums, (at[of_size][:, None] + np.arange(width)).ravel(), size).reshape(-1, width).min(1)
             lo = hi
+        split = np.zeros(len(sizes), np.uint64)
+        split[cut] = joined(table, "b_split", "u8")[0]
         # Distinct fragments, by minimum; each with the smallest id that has it.
         order = np.lexsort((ids, hashed, least))
         new = np.append(True, (hashed[order][1:] != hashed[order][:-1]) | (least[order][1:] != least[order][:-1]))[: len(order)]
@@ -337,8 +382,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed = np.flatnonzero(np.bincount(group, minlength=int(group.max()) + 1)[group] > 1)
         if len(mixed):
             i = first[mixed]
-            cut = np.concatenate([[0], np.cumsum(sizes[i])])
-            frag, offset, length, small = fragment_repeats(data[ragged(ends[i], sizes[i])], cut, group[mixed], ids[i], min_bytes)
+            inner = np.concatenate([[0], np.cumsum(sizes[i])])
+            frag, offset, length, small = fragment_repeats(data[ragged(ends[i], sizes[i])], inner, group[mixed], ids[i], min_bytes)
             replies.append((mixed[frag], offset, length, small))
         frag, offset, length, small = (np.concatenate(x) for x in zip(*replies))
         by = np.argsort(frag, kind="stable")
@@ -348,7 +393,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sender, reply = np.repeat(np.arange(len(of)), hi - lo), ragged(lo, hi - lo)
         useful = several[sender] | (small[reply] < ids[sender])
         sender, reply = sender[useful], reply[useful]
-        return packed([(p, hashed[sender[i]].tobytes(), offset[reply[i]].astype("u2").tobytes(), length[reply[i]].astype("u2").tobytes(), small[reply[i]].tobytes()) for p, i in by_bucket(part[sender])], ["part", "b_hashes", "b_offsets", "b_lengths", "b_ids"])
+        return packed([(p, hashed[sender[i]].tobytes(), offset[reply[i]].astype("u2").tobytes(), length[reply[i]].astype("u2").tobytes(), small[reply[i]].tobytes(), np.unique(split[sender[i]][cut[sender[i]]]).tobytes()) for p, i in by_bucket(part[sender])], ["part", "b_hashes", "b_offsets", "b_lengths", "b_ids", "b_split"])
 
     def marked(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
         names = ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
@@ -358,7 +403,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         data, ends, ids, known = texts_of(table)
         cover = np.zeros(len(data) + 1, np.int32)
         if wanted.num_rows:
-            text, start, _, _, hashed = runs(data, ends, min_bytes, gram)
+            text, start, count, least, hashed = runs(data, ends, min_bytes, gram)
+            split = np.unique(joined(wanted, "b_split", "u8")[0])
+            if len(split):
+                i = np.flatnonzero(split[np.minimum(np.searchsorted(split, least), len(split) - 1)] == least)
+                more = [(i[run], begin, piece) for run, begin, _, _, piece in pieces(data, start[i], count[i])]
+                run, begin, piece = (np.concatenate(x) for x in zip(*more))
+                text, start, hashed = np.append(text, text[run]), np.append(start, begin), np.append(hashed, piece)
             key_, offset, length, small = (joined(wanted, c, k)[0] for c, k in (("b_hashes", "u8"), ("b_offsets", "u2"), ("b_lengths", "u2"), ("b_ids", "i8")))
             by = np.argsort(key_, kind="stable")
             key_, offset, length, small = key_[by], offset[by].astype(np.int64), length[by].astype(np.int64), small[by]
@@ -392,9 +443,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
 
     parts = docs.groupBy("part")
-    sent = parts.applyInArrow(minima, "bucket long, part long, b_minima binary")
+    sent = parts.applyInArrow(minima, "bucket long, part long, b_minima binary, b_kinds binary")
     wanted = sent.groupBy("bucket").applyInArrow(seen_twice, "part long, b_minima binary")
-    cut = parts.cogroup(wanted.groupBy("part")).applyInArrow(fragments, "bucket long, part long, b_sizes binary, b_ids binary, b_text binary")
-    replies = cut.groupBy("bucket").applyInArrow(found, "part long, b_hashes binary, b_offsets binary, b_lengths binary, b_ids binary")
+    cut = parts.cogroup(wanted.groupBy("part")).applyInArrow(fragments, "bucket long, part long, b_sizes binary, b_ids binary, b_text binary, b_split binary")
+    replies = cut.groupBy("bucket").applyInArrow(found, "part long, b_hashes binary, b_offsets binary, b_lengths binary, b_ids binary, b_split binary")
     out = parts.cogroup(replies.groupBy("part")).applyInArrow(marked, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, decontaminate, minhash, quality, secrets
-from tidewell.llm.common import table, written
+from tidewell.llm.common import released, table, written
 from tidewell.llm.queries import vocabulary
 
 
@@ -72,8 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        released(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

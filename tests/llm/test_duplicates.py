@@ -47,11 +47,14 @@ def near_rows(seed, n=120):
     return rows + [(2001, None), (2002, ""), (2003, " \t "), (2004, "one two"), (2005, "ONE two"), (2006, "one two three four five")]
 
 
-@pytest.mark.parametrize("seed,few,leaders", [(1, None, 3), (2, 0, 1), (3, 0, 0)])
-def test_near_duplicates(docs, monkeypatch, seed, few, leaders):
-    """Also by the ways that only hard inputs take: further leaders, and the prefix filter."""
+@pytest.mark.parametrize("seed,few,leaders,work", [(1, None, 3, None), (2, 0, 1, None), (3, 0, 0, None), (4, None, 1, 30), (5, None, 1, 0)])
+def test_near_duplicates(docs, monkeypatch, seed, few, leaders, work):
+    """Also by the ways that only hard inputs take: further leaders, and the prefix filter for some buckets or all, in blocks."""
     if few is not None:
         monkeypatch.setattr(minhash, "FEW", few)
+    if work is not None:
+        monkeypatch.setattr(minhash, "BUCKET_WORK", work)
+        monkeypatch.setattr(minhash, "BLOCK", 2)
     rows = near_rows(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(rows, "rep", "component", "key"), leaders=max(leaders, 1)).collect()}
     assert got == near_brute(rows)

@@ -75,11 +75,13 @@ def crc_mod(doc_id: Column, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where unset (tests) a local one is made."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where it is unset and all runs on one machine (tests) a local one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
@@ -89,7 +91,18 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a table in the shared folder: later steps read it again instead of computing it again, and lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Deletes tables made by `written` once all that was made from them is written itself."""
+    for t in tables:
+        if (path := getattr(t, "written_to", None)) is not None:
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checked_text_bytes(df: DataFrame, column: str) -> tuple[int, int]:

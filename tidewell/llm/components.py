@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large-star and small-star steps in turn until nothing changes: the number of steps grows with the logarithm of the
     longest chain. A node's least neighbour is an aggregate, so a node with very many links is no large group
-    anywhere; the joins back are plain equi-joins, which Spark splits where they are skewed. Loops and null ends are ignored.
+    anywhere; the joins back are plain equi-joins, which Spark splits where they are skewed. Loops and null ends are ignored. Each
+    step's edges are a table, and the one before it is deleted.
     """
     edges = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = written(edges, "edges")
@@ -29,7 +30,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        old, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        released(old)
         before, state = state, _state(edges)
         if state == before:
             break

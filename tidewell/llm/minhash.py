@@ -9,9 +9,10 @@ Equal sets are one class from the start. Within a band's bucket no list of all p
 others are confirmed against it on the full sets, and what is confirmed becomes one component. Of a bucket that is still in
 several components, members outside its largest one are held against the others by exact filters inside the join:
 sizes, and bitmaps of the sets (each bit in which two differ is a shingle that only one of them has), so that only
-pairs near the threshold come out, each from the first bucket that it shares, and are confirmed. Where even that would be much work, other leaders have a try, and
-then an exact prefix filter: similar sets share one of their rarest shingles (a quarter of the set and one). So a
-bucket's pairs of different components are all dealt with, whatever its size.
+pairs near the threshold come out, each from the first bucket that it shares, and are confirmed. Where even that would be much work, other leaders have a try.
+Members of buckets that are still too much for a task go through an exact prefix filter instead: similar sets share one
+of their rarest shingles (a quarter of the set and one); texts that share such a shingle are dealt out in blocks. So a bucket's
+pairs of different components are all dealt with, whatever its size.
 
 Cases: null texts and texts without words have empty sets, n_shingles 0, and are linked with nothing, nor with
 each other. A text of fewer than five words has one shingle, all its words. Rows without id have no component and
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, utf8, written
+from .common import map_arrow, pick, released, utf8, written
 from .components import connected_components
 from .words import bounds, hashes, lowered, mix, windows
 
@@ -39,6 +40,9 @@ ROWS = 4
 LEADERS = 3
 #: Left-over comparisons for each candidate text (a few machine instructions each) that are made without a further round.
 FEW = 2000
+#: Comparisons that one bucket may bring to a task, and texts of a block of those that share a rare shingle.
+BUCKET_WORK = 10_000_000
+BLOCK = 1000
 #: 64-bit words of a set's bitmap.
 BITMAP = 32
 
@@ -184,10 +188,14 @@ def rare_pairs(rows: DataFrame, texts: DataFrame, bits: DataFrame, percent: int
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
     prefix = ranked.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") < F.col("hi"))).select("rep", "component", "n", "shingle", "place")
     prefix = written(prefix, "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    blocks = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("shingle", F.ceil(F.col("texts") / BLOCK).alias("blocks"))
+    prefix = prefix.join(blocks, "shingle")
+    # Each block of a shingle's texts meets all of them in a task of its own.
+    x = prefix.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("x")
+    y = prefix.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
     # Length and position: what is left of both sets after this shingle must allow the overlap that is needed.
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
-    joined = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place") >= need))
+    joined = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place") >= need))
     pairs = joined.select(F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("y.rep").alias("b"), F.col("y.n").alias("n_b")).distinct()
     pairs = pairs.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id"))
     return pairs.filter(may_reach(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
@@ -206,6 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(docs.join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").filter(F.col("text").isNotNull()).dropDuplicates(["id"]), "texts")
     bits = written(bitmaps(texts), "bitmaps")
     links = component = None
+    done = [buckets, texts, bits]
     n_reps = texts.count()
     for turn in range(leaders + 1):
         if not n_reps:
@@ -215,19 +224,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn:
             sizes = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
             mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max_by("component", F.struct("size", F.xxhash64("component"))).alias("major"), F.max("size").alias("most")).filter("parts > 1")
-            mixed = written(mixed, "mixed")
-            left = mixed.agg(F.count(F.lit(1)), F.sum((F.col("members") - F.col("most")) * F.col("members"))).first()
-            if not left[0]:
+            mixed = written(mixed.withColumn("work", (F.col("members") - F.col("most")).cast("double") * F.col("members")), "mixed")
+            done.append(mixed)
+            small = F.col("work") <= BUCKET_WORK
+            parts, work, small_work, large = mixed.agg(F.count(F.lit(1)), F.sum("work"), F.coalesce(F.sum(F.when(small, F.col("work"))), F.lit(0.0)), F.count(F.when(~small, F.lit(1)))).first()
+            if not parts:
                 break
-            here = here.join(mixed.select("key", "major"), "key")
-            last = left[1] <= FEW * n_reps or turn == leaders
-        if last and left[1] <= FEW * n_reps:
+            here = here.join(mixed.select("key", "major", small.alias("small")), "key")
+            last = work <= FEW * n_reps or turn == leaders
+        if last:
+            few = small_work <= FEW * n_reps
             own = bits.join(classes.select(F.col("rep").alias("id"), "bands"), "id")
-            here = written(here.join(own, here.rep == own.id).drop("id"), "here")
-            x, y = here.filter("component <> major").alias("x"), here.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_reach(F.col("x.n"), F.col("y.n"), percent) & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        elif last:
-            pairs = rare_pairs(here.select("rep", "component").distinct(), texts, bits, percent)
+            pairs = None
+            if few:
+                near = written(here.filter("small").join(own, F.col("rep") == own.id).drop("id"), "here")
+                done.append(near)
+                x, y = near.filter("component <> major").alias("x"), near.alias("y")
+                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_reach(F.col("x.n"), F.col("y.n"), percent) & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+            if large or not few:
+                # A pair whose first bucket is a large one comes out here.
+                rare = rare_pairs((here.filter("NOT small") if few else here).select("rep", "component").distinct(), texts, bits, percent)
+                pairs = rare if pairs is None else pairs.unionByName(rare)
+            pairs = pairs.distinct()
         else:
             # One order of leaders for all buckets: a group of near copies has the same leader in most of them.
             lead = here.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
@@ -235,9 +253,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id")).filter(may_reach(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
         found = written(confirm(pairs, texts, percent), "links")
         links = found if links is None else links.unionByName(found)
+        done += [found, component]
         component = written(connected_components(links), "components")
         if last:
             break
+    released(*done)
     out = sketches.join(classes.select("digest", "rep"), "digest", "left")
     if component is not None:
         out = out.join(component, out.rep == component.node, "left").withColumn("component", F.coalesce("component", "rep"))

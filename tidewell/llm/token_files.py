@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import BATCH_ROWS, map_arrow, pick, shared_dir, tidied
+from .common import BATCH_ROWS, map_arrow, pick, released, shared_dir, tidied
 from .words import ragged
 
 #: Ids in a shard (a range of documents) and in a block of it, about.
 SHARD_IDS = 4_000_000
 BLOCK_IDS = 1_000_000
+#: Shards at most: beyond that they grow. So many numbers (where shards begin, how many ids come before) reach the driver and the tasks.
+MOST_SHARDS = 1 << 16
 #: Units in a generation of a Python worker's memory. Speed only.
 REMEMBERED = 600_000
 #: White space of Unicode, as a class of Arrow's patterns.
@@ -212,7 +214,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
 
     rows = kept.filter(F.col("n_ids").isNotNull()).select("id", "n_ids", "ids")
     n_ids = rows.agg(F.sum("n_ids")).first()[0] or 0
-    n_shards = max(1, -(-n_ids // SHARD_IDS))
+    n_shards = min(MOST_SHARDS, max(1, -(-n_ids // SHARD_IDS)))
     cuts = np.array(sorted(set(rows.approxQuantile("id", [k / n_shards for k in range(1, n_shards)], 0.25 / n_shards) if n_shards > 1 and n_ids else [])), np.int64)
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,8 +260,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, id_co
         if held:
             yield full()
 
-    dealt = map_arrow(rows, code, "shard long, id long, n_ids long, control binary, data binary").repartition(n_shards, "shard").sortWithinPartitions("shard", "id", "control", "data")
+    dealt = map_arrow(rows, code, "shard long, id long, n_ids long, control binary, data binary").repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "control", "data")
     dealt.mapInArrow(block_up, "shard long, block long, before long, n_ids long, known binary, doc_ids binary, sizes binary, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    kept.written_to = raw
+    released(kept)
 
 
 def encoder_size(vocabulary: str, end_id: int) -> int:
@@ -269,11 +273,10 @@ def encoder_size(vocabulary: str, end_id: int) -> int:
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """A file set's documents: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids (binary, little-endian uint32) if asked for."""
     blocks = spark.read.parquet(f"{path}/blocks")
-    # One number for each shard, and the vocabulary: both bounded.
+    # A number for each of at most MOST_SHARDS shards, and the vocabulary.
     totals = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
-    offset, at = {}, 0
-    for s in sorted(totals):
-        offset[s], at = at, at + totals[s]
+    n_ids = np.array([totals.get(k, 0) for k in range(max(totals, default=0) + 1)], np.int64)
+    offset = np.cumsum(n_ids) - n_ids
     token = np.array([r.token for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, written
+from .common import map_arrow, pick, released, written
 from .minhash import shingle_sets, signatures
 
 FIT_ROWS = 40_000
@@ -190,7 +190,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     drawn = written(known if n <= fit_rows else known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows / n)), "drawn")
     there = drawn.count()
     texts = pick(docs, id_col, text_col).toDF("id", "text").filter(F.col("text").isNotNull())
-    return written(texts.join(F.broadcast(drawn) if there <= 2 * fit_rows else drawn, "id").select("text", "label"), "labelled")
+    out = written(texts.join(F.broadcast(drawn) if there <= 2 * fit_rows else drawn, "id").select("text", "label"), "labelled")
+    released(drawn)
+    return out
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
@@ -215,7 +217,9 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
         agree = F.aggregate(F.zip_with("marks", "first.marks", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b)
         more = own.join(first, ["label", "key"]).filter((F.col("rank") > F.col("first.rank")) & (agree >= COPY_AGREES)).select("label", "rank")
         gone = more if gone is None else gone.unionByName(more)
-    return written(signed.join(gone, ["label", "rank"], "left_anti").select("text", "label"), "distinct")
+    out = written(signed.join(gone, ["label", "rank"], "left_anti").select("text", "label"), "distinct")
+    released(signed)
+    return out
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", fit_rows: int = FIT_ROWS) -> dict:
@@ -233,7 +237,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     n_clean = n - n_toxic
     if not n_toxic or not n_clean:
         return model
-    model["weights"] = telling(written(counted(rows, beginnings).filter(F.col("toxic") >= LEAST_ROWS), "terms"), n_toxic, n_clean)
+    terms = written(counted(rows, beginnings).filter(F.col("toxic") >= LEAST_ROWS), "terms")
+    model["weights"] = telling(terms, n_toxic, n_clean)
     plain = automaton(model)
     around = counted(rows, lambda folded: phrases(folded, hits(folded, plain))).filter((F.col("clean") >= 3) & (F.col("clean") * n_toxic >= 9 * F.col("toxic") * n_clean))
     model["exceptions"] = sorted(r.term for r in around.select("term").collect())
@@ -249,6 +254,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     x, y = np.repeat(np.array([(p.a, p.b) for p in points]), [p["count"] for p in points], axis=0), np.repeat([p.label for p in points], [p["count"] for p in points])
     order = np.lexsort((y, x[:, 1], x[:, 0]))
     model["curve"] = logistic(x[order], y[order])
+    released(terms, rows)
     return model
 
 

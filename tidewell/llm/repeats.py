@@ -46,7 +46,7 @@ PART_BYTES = 4_000_000
 PARTS, MOST_PART_BYTES = 1 << 20, 8_000_000
 SLICE = 1 << 19
 #: A minimum in so many parts, with so many different last bytes of its fragments' hashes, is split.
-HOT_PARTS, HOT_KINDS = 32, 16
+HOT_PARTS, HOT_KINDS = 256, 128
 #: Bytes of text for each bucket of minima.
 BUCKET_BYTES = 8_000_000
 #: Suffixes sorted together, unless one minimum has more.

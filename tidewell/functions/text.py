@@ -1,31 +1,32 @@
-"""Text cleaning as column expressions, all in the JVM. A null text stays null."""
+"""Text cleaning as column expressions, in the JVM but for HTML entities. A null text stays null."""
 
 import hashlib
+import html
 from functools import cache
-from html.entities import html5
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Named entities of HTML, from the standard library's table: those with a semicolon, and the old ones that go without.
-NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
-OLD = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
-
 
 @cache
 def emoji_class() -> str:
     """A character class of pictographs, emoji shown as such, skin tones and the variation selector, from the Unicode properties that the `regex` package knows."""
     hit = regex.compile(r"\p{Extended_Pictographic}|\p{Emoji_Presentation}|\p{Emoji_Modifier}|\uFE0F").match
     points = [i for i in range(0x80, 0x20000) if hit(chr(i))]
-    runs = [[points[0], points[0]]]
-    for i in points[1:]:
-        if i == runs[-1][1] + 1:
-            runs[-1][1] = i
-        else:
-            runs.append([i, i])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+    def ranges(gap: int) -> str:
+        runs = [[points[0], points[0]]]
+        for i in points[1:]:
+            if i <= runs[-1][1] + gap:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+    # A few wide ranges first: most characters are in none of them, and the many narrow ones are slow.
+    return f"(?={ranges(0x1000)}){ranges(1)}"
 
 
 URL = r"(?i)(?:https?|ftp)://\S+"
@@ -44,28 +45,13 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """Named, decimal and hexadecimal entities, each once and none twice. Code points that do not exist become U+FFFD."""
-    table = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
-    old = F.create_map(*[F.lit(x) for k in OLD for x in (k, html5[k])])
-
-    def point(n: Column) -> Column:
-        good = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, n)), 8, "0")), "UTF-32")).otherwise("\uFFFD")
-
-    def entity(p: Column) -> Column:
-        dec, hexa = F.regexp_extract(p, r"^#([0-9]{1,9});?", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,7});?", 1)
-        name, bare = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(p, f"^({'|'.join(OLD)})", 1)
-        rest = lambda pattern: F.regexp_replace(p, F.lit(pattern), F.lit(""))
-        return (
-            F.when(dec != "", F.concat(point(F.nullif(dec, F.lit("")).cast("long")), rest(r"^#[0-9]{1,9};?")))
-            .when(hexa != "", F.concat(point(F.conv(hexa, 16, 10).cast("long")), rest(r"^#[xX][0-9a-fA-F]{1,7};?")))
-            .when(F.try_element_at(table, name).isNotNull(), F.concat(F.try_element_at(table, name), F.substring(p, F.length(name) + 1, F.length(p))))
-            .when(bare != "", F.concat(F.try_element_at(old, bare), F.substring(p, F.length(bare) + 1, F.length(p))))
-            .otherwise(F.concat(F.lit("&"), p))
-        )
-
-    parts = F.split(c, "&")
-    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), entity), ""))).otherwise(c)
+    """Named, decimal and hexadecimal entities, each once and none twice, as the standard library has them. Spark has no such table, so texts with a `&` go to Python in Arrow batches; others stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.coalesce(run(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 # Fixed: what the bytes 80 to 9F show when read as Windows-1252, and those bytes as code points.
@@ -128,7 +114,7 @@ def replace_urls(c: Column, mode: str = "token") -> Column:
     shape = {"domain_token": lambda d: F.concat(F.upper(d), F.lit("_TOKEN")), "domain_visible": lambda d: F.concat(F.lit("["), d, F.lit("]"))}[mode]
     # What stands between URLs, and the URLs, in turn.
     between, urls = F.split(c, URL), F.regexp_extract_all(c, F.lit(URL), F.lit(0))
-    return F.when(c.isNotNull(), F.array_join(F.flatten(F.transform(between, lambda t, i: F.array(t, F.when(i < F.size(urls), shape(domain(F.get(urls, i)))).otherwise("")))), ""))
+    return F.array_join(F.zip_with(between, urls, lambda t, u: F.concat(t, F.coalesce(shape(domain(u)), F.lit("")))), "")
 
 
 def replace_mentions(c: Column, mode: str = "token") -> Column:
@@ -149,11 +135,23 @@ def limit_elongation(c: Column, most: int = 3) -> Column:
 
 
 def clean(c: Column, urls: str, emoji: str) -> Column:
-    """Charset, HTML, control characters, blanks, URLs, mentions and emoji (`strip` or `keep`), in this order."""
+    """Charset, HTML, control characters, blanks, URLs, mentions and emoji (`strip` or `keep`), in this order. For tables: `cleaned`."""
     c = replace_mentions(replace_urls(collapse_space(remove_control(strip_html(repair_mojibake(c)))), urls))
     return strip_emoji(c) if emoji == "strip" else c
 
 
+def cleaned(df: DataFrame, column: str, **forms: tuple[str, str]) -> DataFrame:
+    """df with a column for each form (its URLs and emoji as for `clean`). What the forms share is made once, and each step is a column of its own, so that no text is made again for every place that an expression names it."""
+    at = "__cleaned"
+    df = df.withColumn(at, repair_mojibake(F.col(column)))
+    for step in (unescape_html, lambda c: _sub(c, "<[^>]+>", " "), remove_control, collapse_space):
+        df = df.withColumn(at, step(F.col(at)))
+    for name, (urls, emoji) in forms.items():
+        c = replace_mentions(replace_urls(F.col(at), urls))
+        df = df.withColumn(name, strip_emoji(c) if emoji == "strip" else c)
+    return df.drop(at)
+
+
 def clean_for_models(c: Column) -> Column:
     """URLs as a bare token, no emoji."""
     return clean(c, "token", "strip")

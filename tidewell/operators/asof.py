@@ -22,8 +22,10 @@ def asof_keyless(left: DataFrame, right: DataFrame, left_time: str, right_time:
     """Without a key, for a right side of few rows (a macro series): they become intervals up to the next row, joined by range.
 
     The right side is broadcast only if it has at most most_rows rows; beyond that both sides are dealt out by month,
-    each month's right rows with the last one before it.
+    each month's right rows with the last one before it. Either way, of right rows of one instant the one with greatest columns
+    counts, and right rows without time count for nothing.
     """
+    right = right.filter(F.col(right_time).isNotNull()).groupBy(F.col(right_time).alias("__t")).agg(F.max(F.struct(*columns)).alias("__r")).select(F.col("__t").alias(right_time), *[F.col(f"__r.{c}").alias(c) for c in columns])
     n = right.count()
     if n <= most_rows:
         spans = right.select(F.col(right_time).alias("__from"), *columns).withColumn("__to", F.lead("__from").over(Window.orderBy("__from")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,27 +17,47 @@ def _same(old: str, new: str, keys: list[str]) -> Column:
 
 
 def guarded_fold(arrivals: DataFrame, keys: list[str], order: list[str], guards: list[str], payload: list[str]) -> DataFrame:
-    """Rows of a key in arrival order, each replacing the one kept so far only if none of its guards is smaller.
+    """Rows of a key in arrival order, each replacing the one kept so far only if all its guards are as large; a null guard on either side replaces nothing.
 
-    That rule is no total order (neither of two rows may dominate), so it is folded, not sorted: one aggregate over the
-    key's arrivals, which a key has few of.
+    That rule is no total order (neither of two rows may dominate), so it is folded, not sorted or aggregated: a key's rows stream past
+    in order and one of them is held, however many a key has.
     """
-    names = list(dict.fromkeys([*order, *guards, *payload]))
-    rows = F.array_sort(F.collect_list(F.struct(*names)))
-    wins = lambda a, b: F.coalesce(a[guards[0]].isNull() | F.forall(F.array(*[b[g] >= a[g] for g in guards]), lambda x: x), F.lit(False))
-    kept = arrivals.groupBy(*keys).agg(rows.alias("r")).select(*keys, F.aggregate(F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))), F.get("r", F.lit(0)), lambda a, b: F.when(wins(a, b), b).otherwise(a)).alias("__kept"))
-    return kept.select(*keys, *[F.col(f"__kept.{n}").alias(n) for n in names if n not in keys])
+    names = list(dict.fromkeys([*keys, *order, *guards, *payload]))
+    rows = arrivals.select(*names)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*dict.fromkeys([*keys, *order, *guards, *payload]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            key = list(zip(*[t.column(k).to_pylist() for k in keys]))
+            guard = list(zip(*[t.column(g).to_pylist() for g in guards]))
+            done, kept = [], 0
+            for i in range(1, len(key)):
+                if key[i] != key[kept]:
+                    done.append(kept)
+                    kept = i
+                elif all(x is not None and y is not None and y >= x for x, y in zip(guard[kept], guard[i])):
+                    kept = i
+            yield from t.take(pa.array(done, pa.int64())).to_batches()
+            held = t.slice(kept, 1).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return dealt.mapInArrow(fold, rows.schema)
 
 
 def guarded_upsert(old: DataFrame, new: DataFrame, keys: list[str], guards: list[str]) -> DataFrame:
-    """One new row at most for each key: it replaces the old one only if all its guards are as large. Null-safe on neither side."""
+    """One new row at most for each key: it replaces the old one only if all its guards are as large. A comparison with null is not true, so the old row stays; a key that old lacks enters whatever its guards are."""
     rest = [c for c in old.columns if c not in keys]
-    both = old.alias("o").join(new.alias("n"), keys, "full")
+    both = old.withColumn("__old", F.lit(True)).alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), keys, "full")
     wins = F.lit(True)
     for g in guards:
         wins = wins & (F.col(f"n.{g}") >= F.col(f"o.{g}"))
-    has_old, has_new = F.col(f"o.{guards[0]}").isNotNull(), F.col(f"n.{guards[0]}").isNotNull()
-    take_new = has_new & (~has_old | wins)
+    take_new = F.col("__new").isNotNull() & (F.col("__old").isNull() | F.coalesce(wins, F.lit(False)))
     return both.select(*keys, *[F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest])
 
 

@@ -71,7 +71,11 @@ def t7_strip_emoji(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(X.strip_emoji(F.concat(F.lit("\U0001f600❤️"), F.col("text"), F.lit("\U0001f1e9\U0001f1ea")))).cast("long").alias("n"))
 
 
-@query()
+# Runs spelt out character by character: the place of each character in its run.
+@query("""WITH c AS (SELECT doc_id, unnest(ch) AS ch, generate_subscripts(ch, 1) AS i FROM (SELECT doc_id, string_split(text || ' cooooool!!!!!!', '') AS ch FROM documents)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) AS n FROM r)
+SELECT doc_id, md5(string_agg(ch, '' ORDER BY i)) AS clean_md5 FROM n WHERE n <= 3 OR ch IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) GROUP BY doc_id""")
 def t8_limit_runs(spark, d):
     c = F.concat(F.col("text"), F.lit(" cooooool!!!!!!"))
     return table(spark, d, "documents").select("doc_id", F.md5(X.limit_elongation(X.limit_punctuation(c))).alias("clean_md5"))
@@ -82,9 +86,20 @@ def t9_lower(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("low_md5"))
 
 
-@query()
+CLEANED = f"trim(regexp_replace(regexp_replace({STRIPPED}, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}]', '', 'g'), '[\\t-\\r \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+_URL = "'(?i)(?:https?|ftp)://\\S+'"
+
+
+@query(f"""WITH c AS (SELECT page_id, {CLEANED} AS c FROM pages),
+u AS (SELECT page_id, c, regexp_split_to_array(c, {_URL}) AS t, list_transform(regexp_extract_all(c, {_URL}), lambda x: upper(regexp_extract(lower(regexp_extract(x, '^(?i)[a-z]+://[^/?#:]+')), '([^./]+\\.[^./]+)$', 1)) || '_TOKEN') AS d FROM c)
+SELECT page_id, md5(replace(regexp_replace(regexp_replace(c, {_URL}, 'URL', 'g'), '@\\w+', '@USER', 'g'), chr(169), '')) AS ml_md5,
+       md5(regexp_replace(array_to_string(list_transform(range(len(t)), lambda i: t[i + 1] || coalesce(d[i + 1], '')), ''), '@\\w+', '@USER', 'g')) AS llm_md5 FROM u""")
 def t10_clean_for_models(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(X.clean_for_models(F.col("html"))).alias("ml_md5"), F.md5(X.clean_for_reading(F.col("html"))).alias("llm_md5"))
+    """The form for models and the one for reading. Of pictographs the pages hold the copyright sign alone."""
+    out = X.cleaned(table(spark, d, "pages"), "html", ml=("token", "strip"), llm=("domain_token", "keep"))
+    return out.select("page_id", F.md5("ml").alias("ml_md5"), F.md5("llm").alias("llm_md5"))
 
 
 @query("SELECT doc_id, concat_ws(' - ', nullif(trim(lang), ''), nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE source END), '')) AS combined FROM documents")
@@ -186,18 +201,8 @@ def k1_with_predictions(spark, d):
     return V.with_predictions(docs, annotations(spark, d), "doc", "doc_id").select("doc_id", "lang", "model", "schema_version", "sentiment")
 
 
-@query(f"WITH {PREDS}, a AS (SELECT 'doc' AS source, pred_id, model, sentiment FROM preds UNION ALL SELECT 'page', pred_id, model, sentiment FROM preds WHERE pred_id < 100 UNION ALL SELECT 'thread', pred_id, model, sentiment FROM preds WHERE pred_id % 2 = 0) SELECT 'page' AS kind, page_id AS id, model, sentiment FROM pages LEFT JOIN a ON a.source = 'page' AND pred_id = page_id UNION ALL SELECT 'thread', conv_id, model, sentiment FROM conversations LEFT JOIN a ON a.source = 'thread' AND pred_id = conv_id WHERE turn = 0")
-def k2_other_sources(spark, d):
-    """The same view over pages and threads, each with its own annotations."""
-    a = annotations(spark, d).select("source", "pred_id", "model", "sentiment")
-    every = a.unionByName(a.filter("pred_id < 100").withColumn("source", F.lit("page"))).unionByName(a.filter("pred_id % 2 = 0").withColumn("source", F.lit("thread")))
-    pages = V.with_predictions(table(spark, d, "pages").select("page_id"), every, "page", "page_id").withColumnRenamed("page_id", "id")
-    posts = V.with_predictions(table(spark, d, "conversations").filter("turn = 0").select("conv_id"), every, "thread", "conv_id").withColumnRenamed("conv_id", "id")
-    return pages.withColumn("kind", F.lit("page")).unionByName(posts.withColumn("kind", F.lit("thread"))).select("kind", "id", "model", "sentiment")
-
-
 @query(f"WITH {PREDS} SELECT 'page' AS kind, page_id AS id, model, sentiment FROM pages LEFT JOIN preds ON pred_id = page_id UNION ALL SELECT 'thread', conv_id, model, sentiment FROM conversations LEFT JOIN preds ON pred_id = conv_id WHERE turn = 0")
-def k2_other_sources_all(spark, d):
+def k2_other_sources(spark, d):
     """k2_other_sources with page and thread annotations made from all labels: unmatched rows are those without a label."""
     a = annotations(spark, d).select("source", "pred_id", "model", "sentiment")
     every = a.unionByName(a.withColumn("source", F.lit("page"))).unionByName(a.withColumn("source", F.lit("thread")))

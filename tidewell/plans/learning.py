@@ -18,6 +18,8 @@ def _shared(spark) -> str:
     """A new folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
@@ -118,10 +120,10 @@ def stream_first_seen(spark, d):
     return T.run_to_table(T.first_seen(keyed, ["user_id", "event_type", "day"], "at", "60 days"), f"{path}/seen", f"{path}/state", "append").select("user_id", "event_type", "day")
 
 
-@query("WITH arr AS (SELECT CAST(user_id % 40 AS VARCHAR) AS key, event_id AS seq, CAST(floor(value) AS BIGINT) AS volume, event_id * 7 % 13 AS trade_count FROM events), f AS (SELECT key, list_reduce(list(struct_pack(seq := seq, volume := volume, trade_count := trade_count) ORDER BY seq), lambda a, b: CASE WHEN b.trade_count >= a.trade_count AND b.volume >= a.volume THEN b ELSE a END) AS r FROM arr GROUP BY key) SELECT key, r.seq AS seq, r.volume AS volume, r.trade_count AS trade_count FROM f")
+@query("WITH arr AS (SELECT CAST(user_id % 40 AS VARCHAR) AS key, event_id AS seq, CASE WHEN event_id % 11 <> 3 THEN CAST(floor(value) AS BIGINT) END AS volume, event_id * 7 % 13 AS trade_count FROM events), f AS (SELECT key, list_reduce(list(struct_pack(seq := seq, volume := volume, trade_count := trade_count) ORDER BY seq), lambda a, b: CASE WHEN b.trade_count >= a.trade_count AND b.volume >= a.volume THEN b ELSE a END) AS r FROM arr GROUP BY key) SELECT key, r.seq AS seq, r.volume AS volume, r.trade_count AS trade_count FROM f")
 def stream_guarded_upsert(spark, d):
     events = T.files(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
-    rows = events.select((F.col("user_id") % 40).cast("string").alias("key"), F.col("event_id").alias("seq"), F.floor("value").alias("volume"), (F.col("event_id") * 7 % 13).alias("trade_count"))
+    rows = events.select((F.col("user_id") % 40).cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 != 3, F.floor("value")).alias("volume"), (F.col("event_id") * 7 % 13).alias("trade_count"))
     path = _shared(spark)
     return T.last_state(T.run_to_table(T.guarded_upserts(rows), f"{path}/rows", f"{path}/state"), ["key"])
 

@@ -318,21 +318,11 @@ def m10_align(spark, d):
 ASOF_R = "r AS (SELECT o_custkey % 150 AS symbol, o_orderdate AS at, max(o_totalprice) AS price FROM orders GROUP BY 1, 2)"
 
 
-def _asof_lines(lines, orders):
-    left = lines.select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 150).alias("symbol"), F.col("l_shipdate").alias("t"), "l_linenumber")
-    right = orders.select((F.col("o_custkey") % 150).alias("symbol"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
-    return asof.asof_backward(left, right, "t", "at", "symbol", ["price"]).select("id", "symbol", stamp("t"), "l_linenumber", stamp("at"), rnd("price", digits=4))
-
-
-@query(f"WITH {ASOF_R}, l AS (SELECT s_suppkey AS id, l_partkey % 150 AS symbol, l_shipdate AS t, l_linenumber FROM (SELECT l_suppkey AS s_suppkey, l_partkey, l_shipdate, l_linenumber, l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0)) SELECT l.id, l.symbol, {sql_stamp('l.t', 't')}, l.l_linenumber, {sql_stamp('r.at', 'at')}, round(r.price, 4) AS price FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.t >= r.at")
-def k9_asof_by_symbol(spark, d):
-    """A tenth of the lines, as the SQL says; k9_asof_all_lines has them all."""
-    return _asof_lines(table(spark, d, "lineitem").filter("l_orderkey % 10 = 0"), table(spark, d, "orders"))
-
-
 @query(f"WITH {ASOF_R}, l AS (SELECT l_suppkey AS id, l_partkey % 150 AS symbol, l_shipdate AS t, l_linenumber FROM lineitem) SELECT l.id, l.symbol, {sql_stamp('l.t', 't')}, l.l_linenumber, {sql_stamp('r.at', 'at')}, round(r.price, 4) AS price FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.t >= r.at")
-def k9_asof_all_lines(spark, d):
-    return _asof_lines(table(spark, d, "lineitem"), table(spark, d, "orders"))
+def k9_asof_by_symbol(spark, d):
+    left = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 150).alias("symbol"), F.col("l_shipdate").alias("t"), "l_linenumber")
+    right = table(spark, d, "orders").select((F.col("o_custkey") % 150).alias("symbol"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+    return asof.asof_backward(left, right, "t", "at", "symbol", ["price"]).select("id", "symbol", stamp("t"), "l_linenumber", stamp("at"), rnd("price", digits=4))
 
 
 @query(f"WITH {WEEKLY}, {MACRO}, m AS (SELECT date, max(value) FILTER (indicator_name = '1-URGENT') AS urgent FROM macro GROUP BY date HAVING max(value) FILTER (indicator_name = '1-URGENT') IS NOT NULL) SELECT symbol, {sql_stamp('timestamp')}, {sql_rnd('urgent')} FROM bars ASOF LEFT JOIN m ON bars.timestamp >= m.date")
@@ -385,11 +375,13 @@ def k12_models_side_by_side(spark, d):
 # Upserts
 
 
-ARRIVALS = "arr AS (SELECT user_id % 40 AS k, event_id AS seq, CAST(floor(value) AS BIGINT) AS volume, event_id * 7 % 13 AS trade_count FROM events)"
+ARRIVALS = "arr AS (SELECT user_id % 40 AS k, event_id AS seq, CASE WHEN event_id % 11 <> 3 THEN CAST(floor(value) AS BIGINT) END AS volume, CASE WHEN event_id % 9 <> 2 AND user_id % 40 <> 17 THEN event_id * 7 % 13 END AS trade_count FROM events)"
 
 
 def _arrivals(spark, d):
-    return table(spark, d, "events").select((F.col("user_id") % 40).alias("k"), F.col("event_id").alias("seq"), F.floor("value").alias("volume"), (F.col("event_id") * 7 % 13).alias("trade_count"))
+    """Arrivals, some without one guard or the other; those of one key never have the second."""
+    e = table(spark, d, "events").withColumn("k", F.col("user_id") % 40)
+    return e.select("k", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 != 3, F.floor("value")).alias("volume"), F.when((F.col("event_id") % 9 != 2) & (F.col("k") != 17), F.col("event_id") * 7 % 13).alias("trade_count"))
 
 
 @query(f"WITH {ARRIVALS}, f AS (SELECT k, list_reduce(list(struct_pack(seq := seq, volume := volume, trade_count := trade_count) ORDER BY seq), lambda a, b: CASE WHEN b.trade_count >= a.trade_count AND b.volume >= a.volume THEN b ELSE a END) AS r FROM arr GROUP BY k) SELECT k, r.seq AS seq, r.volume AS volume, r.trade_count AS trade_count FROM f")
@@ -412,14 +404,8 @@ def u2_first_write_wins(spark, d):
     return U.insert_or_ignore(old, a.filter("seq >= 20"), ["k"], [F.col("seq").asc()])
 
 
-@query(f"WITH {ARRIVALS}, n AS (SELECT * FROM arr WHERE seq % 3 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) SELECT k, seq FROM n UNION ALL SELECT k, seq FROM arr WHERE seq < 40 AND seq % 3 <> 0 AND k NOT IN (SELECT k FROM n)")
-def u3_last_write_wins(spark, d):
-    a = _arrivals(spark, d).select("k", "seq")
-    return U.insert_or_replace(a.filter("seq < 40 AND seq % 3 <> 0"), a.filter("seq % 3 = 0"), ["k"], [F.col("seq").desc()])
-
-
 @query(f"WITH {ARRIVALS}, o AS (SELECT k, seq FROM arr WHERE seq < 30 OR k % 8 = 7 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1), n AS (SELECT k, seq FROM arr WHERE seq >= 30 AND k % 8 <> 7 QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) SELECT k, seq FROM n UNION ALL SELECT k, seq FROM o WHERE k NOT IN (SELECT k FROM n)")
-def u3_last_write_wins_all(spark, d):
+def u3_last_write_wins(spark, d):
     """Every arrival is on one side; keys of k % 8 = 7 are on the old side only and keep their old row."""
     a = _arrivals(spark, d).select("k", "seq")
     is_old = (F.col("seq") < 30) | (F.col("k") % 8 == 7)

@@ -38,8 +38,8 @@ def _guard(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     kept = state.get if state.exists else None
     for rows in batches:
         for r in rows.sort_values("seq").itertuples(index=False):
-            new = (int(r.seq), int(r.volume), int(r.trade_count))
-            if kept is None or (new[1] >= kept[1] and new[2] >= kept[2]):
+            new = tuple(None if pd.isna(x) else int(x) for x in (r.seq, r.volume, r.trade_count))
+            if kept is None or all(x is not None and y is not None and y >= x for x, y in zip(kept[1:], new[1:])):
                 kept = new
     if kept is not None:
         state.update(kept)
@@ -47,7 +47,7 @@ def _guard(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def guarded_upserts(stream: DataFrame) -> DataFrame:
-    """The guarded upsert over a stream of (key, seq, volume, trade_count): the row kept for each key that a batch touched."""
+    """The guarded upsert over a stream of (key, seq, volume, trade_count): the row kept for each key that a batch touched. A null guard replaces nothing. Each key has one row of state, for good: any later arrival may replace it."""
     return stream.groupBy("key").applyInPandasWithState(_guard, GUARDED, "seq long, volume long, trade_count long", "update", GroupStateTimeout.NoTimeout)
 
 

@@ -29,6 +29,56 @@ def test_guarded_upsert_equal_replaces(spark):
     assert got == {"a": "new", "b": "old", "c": "old", "d": "new"}
 
 
+def test_recursive_average_by_single_steps():
+    import numpy as np
+
+    from tidewell.operators.indicators import ewm
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 13, 128, 129, 300, 1000):
+        for alpha, seed in ((2 / 51, 50), (1 / 14, 1), (0.2, 9)):
+            x = rng.normal(100, 5, n)
+            if n == 300:
+                x[200] = np.nan
+            want = np.full(n, np.nan)
+            if n >= seed:
+                acc = want[seed - 1] = x[:seed].mean()
+                for i in range(seed, n):
+                    acc += alpha * (x[i] - acc)
+                    want[i] = acc
+            np.testing.assert_allclose(ewm(x, alpha, seed), want, rtol=1e-11)
+
+
+def test_leaderboard_reasons_and_order(spark):
+    from tidewell.operators import leaderboard as L
+
+    rows = [("a", "ridge", 3, 1, "1Day", ["x"], 0.5, 0.1), ("b", None, 3, 1, "1Day", ["x"], 0.1, 0.1), ("c", "mlp", 3, 1, "1Day", ["x"], 0.1, 0.1), ("d", "ridge", None, 1, "1Day", ["x"], 0.1, 0.1), ("e", "ridge", 3, 2, "1Day", ["x"], 0.1, 0.1), ("f", "ridge", 5, 1, "1Day", ["x"], 0.1, 0.1), ("g", "ridge", 3, 1, None, ["x"], 0.1, 0.1), ("h", "ridge", 3, 1, "1Day", ["x", "z"], 0.1, 0.1), ("i", "ridge", 3, 1, "1Day", None, float("nan"), 0.3)]
+    runs = spark.createDataFrame(rows, "run string, kind string, lookback int, horizon int, timeframe string, features array<string>, rmse double, mae double")
+    got = {r.run: r.skip_reason for r in L.report(runs, lookback=5, horizon=1, timeframe="1Day", available=["x", "y"]).collect()}
+    assert got == {"a": None, "b": "load_error", "c": "not_a_ridge", "d": "missing_settings", "e": "horizon_mismatch", "f": "lookback_not_smaller", "g": "timeframe_mismatch", "h": "missing_features", "i": None}
+    loose = {r.run: r.status for r in L.report(runs, lookback=5, horizon=1, timeframe=None, available=["x"], strict=False, equal_lookback=True).collect()}
+    assert [k for k, v in loose.items() if v == "ok"] == ["a", "f", "g", "h", "i"]
+    placed = {r.run: (r.by, r.place) for r in L.ordered(runs.filter("run IN ('a', 'i', 'h')"), ["rmse", "mae"]).collect()}
+    assert placed == {"h": ("rmse", 1), "a": ("rmse", 2), "i": ("rmse", 3)}
+    only = L.ordered(runs.filter("run = 'i'"), ["rmse", "mae"], descending=("mae",)).collect()
+    assert [(r.by, r.place) for r in only] == [("mae", 1)] and L.ordered(runs.filter("false"), ["rmse"]).count() == 0
+
+
+def test_replace_whole_and_log(spark, tmp_path):
+    from tidewell.sources import tables
+
+    path = f"file://{tmp_path}/t"
+    for n in (3, 5):
+        tables.replace_whole(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    tables.replace_whole(spark.read.parquet(path).filter("id > 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and len(list(tmp_path.iterdir())) == 1
+    lines = spark.createDataFrame([(T(1, 2), "etl", "ok")], "at timestamp_ntz, source string, message string")
+    for _ in range(2):
+        tables.append_log(lines, f"file://{tmp_path}/log")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/log").collect()] == ["[2024-01-01 02:00:00] [etl] ok"] * 2
+
+
 def test_guarded_writes_with_nulls(spark):
     """A null guard on either side replaces nothing; a key that is not there enters whatever its guards are."""
     schema = "k string, v int, t int, close double"

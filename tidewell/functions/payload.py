@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 from .scalar import to_number
 
 
-# Fixed features of each endpoint that are kept.
-FEATURE_KEYS = {
-    "profile": "price beta volAvg mktCap lastDiv isEtf isFund isActivelyTrading".split(),
-    "ratios": "currentRatio quickRatio cashRatio debtRatio debtEquityRatio interestCoverage grossProfitMargin operatingProfitMargin netProfitMargin returnOnAssets returnOnEquity priceEarningsRatio priceToBookRatio priceToSalesRatio priceToFreeCashFlowsRatio dividendYield enterpriseValueMultiple priceFairValue".split(),
-    "key_metrics": "marketCap enterpriseValue peRatio pbRatio pfcfRatio pocfratio evToSales enterpriseValueOverEBITDA evToOperatingCashFlow evToFreeCashFlow earningsYield freeCashFlowYield netDebtToEBITDA debtToEquity currentRatio interestCoverage revenuePerShare netIncomePerShare operatingCashFlowPerShare freeCashFlowPerShare bookValuePerShare tangibleBookValuePerShare capexPerShare dividendYield payoutRatio".split(),
-    "key_metrics_ttm": "peRatioTTM pbRatioTTM pfcfRatioTTM pocfratioTTM enterpriseValueOverEBITDATTM freeCashFlowYieldTTM earningsYieldTTM revenuePerShareTTM netIncomePerShareTTM operatingCashFlowPerShareTTM freeCashFlowPerShareTTM dividendYieldTTM payoutRatioTTM peRatio pbRatio pfcfRatio pocfratio enterpriseValueOverEBITDA freeCashFlowYield earningsYield revenuePerShare netIncomePerShare operatingCashFlowPerShare freeCashFlowPerShare dividendYield payoutRatio".split(),
+# Fixed fields of each endpoint that are kept as features.
+KEPT_FIELDS = {
+    "profile": [
+        "price", "beta", "volAvg", "mktCap", "lastDiv", "isEtf", "isFund", "isActivelyTrading",
+    ],
+    "ratios": [
+        "currentRatio", "quickRatio", "cashRatio", "debtRatio", "debtEquityRatio", "interestCoverage", "grossProfitMargin",
+        "operatingProfitMargin", "netProfitMargin", "returnOnAssets", "returnOnEquity", "priceEarningsRatio", "priceToBookRatio",
+        "priceToSalesRatio", "priceToFreeCashFlowsRatio", "dividendYield", "enterpriseValueMultiple", "priceFairValue",
+    ],
+    "key_metrics": [
+        "marketCap", "enterpriseValue", "peRatio", "pbRatio", "pfcfRatio", "pocfratio", "evToSales", "enterpriseValueOverEBITDA",
+        "evToOperatingCashFlow", "evToFreeCashFlow", "earningsYield", "freeCashFlowYield", "netDebtToEBITDA", "debtToEquity",
+        "currentRatio", "interestCoverage", "revenuePerShare", "netIncomePerShare", "operatingCashFlowPerShare", "freeCashFlowPerShare",
+        "bookValuePerShare", "tangibleBookValuePerShare", "capexPerShare", "dividendYield", "payoutRatio",
+    ],
+    "key_metrics_ttm": [
+        "peRatioTTM", "pbRatioTTM", "pfcfRatioTTM", "pocfratioTTM", "enterpriseValueOverEBITDATTM", "freeCashFlowYieldTTM",
+        "earningsYieldTTM", "revenuePerShareTTM", "netIncomePerShareTTM", "operatingCashFlowPerShareTTM", "freeCashFlowPerShareTTM",
+        "dividendYieldTTM", "payoutRatioTTM", "peRatio", "pbRatio", "pfcfRatio", "pocfratio", "enterpriseValueOverEBITDA",
+        "freeCashFlowYield", "earningsYield", "revenuePerShare", "netIncomePerShare", "operatingCashFlowPerShare", "freeCashFlowPerShare",
+        "dividendYield", "payoutRatio",
+    ],
 }
 
 
@@ -28,7 +45,7 @@ def objects(payload: Column) -> Column:
 
 def endpoint_prefix(path: Column) -> Column:
     """`/stable/ratios-ttm?x=1` becomes `ratios_ttm`."""
-    return F.translate(F.regexp_extract(path, r"([^/?]+)(?:\?.*)?$", 1), "-", "_")
+    return F.translate(F.regexp_extract(path, r"([^/?]+)/*(?:\?.*)?$", 1), "-", "_")
 
 
 def unpivot(snapshots: DataFrame, keys: list[str], payload: str, prefix: Column, wanted: list[str], fetched: str) -> DataFrame:

@@ -44,15 +44,32 @@ def true_range() -> Column:
     return F.when(before.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
+#: Steps of a recursion that are made by one matrix.
+STEPS = 128
+
+
 def ewm(x: np.ndarray, alpha: float, seed: int = 1) -> np.ndarray:
-    """Recursive average of x; nan before `seed` values, seeded with their mean."""
+    """Recursive average of x; nan before `seed` values, seeded with their mean, and from a nan on.
+
+    The steps inside a stretch are one product with a triangle of powers; only the last value of each stretch is carried on.
+    """
     out = np.full(len(x), np.nan)
-    if len(x) >= seed:
-        acc = float(np.mean(x[:seed]))
-        out[seed - 1] = acc
-        for i in range(seed, len(x)):
-            acc += alpha * (x[i] - acc)
-            out[i] = acc
+    if len(x) < seed:
+        return out
+    out[seed - 1] = np.mean(x[:seed])
+    rest = x[seed:]
+    bad = np.flatnonzero(~np.isfinite(rest))
+    n = int(bad[0]) if len(bad) else len(rest)
+    if n:
+        k = np.arange(STEPS)
+        triangle = alpha * np.tril((1 - alpha) ** np.maximum(k[:, None] - k, 0))
+        fade = (1 - alpha) ** (k + 1.0)
+        stretches = np.append(rest[:n], np.zeros(-n % STEPS)).reshape(-1, STEPS) @ triangle.T
+        last = out[seed - 1]
+        for row in stretches:
+            row += fade * last
+            last = row[-1]
+        out[seed : seed + n] = stretches.ravel()[:n]
     return out
 
 

@@ -143,6 +143,13 @@ def t17_evidence(spark, d):
 # JSON
 
 
+@query("SELECT event_id, 'ratios_ttm_' || event_type AS prefix FROM events")
+def j4_endpoint_prefix(spark, d):
+    """An endpoint's last part, with or without a slash or parameters behind it."""
+    tail = F.when(F.col("event_id") % 3 == 0, "/").when(F.col("event_id") % 3 == 1, "?symbol=A-B/C").otherwise("")
+    return table(spark, d, "events").select("event_id", J.endpoint_prefix(F.concat(F.lit("/stable/ratios-ttm-"), F.col("event_type"), tail)).alias("prefix"))
+
+
 @query("SELECT user_id AS symbol, 'ratios_ttm.' || key AS feature, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS asof_date, event_id, CAST(json_extract_string(props, '$.' || key) AS DOUBLE) AS value FROM (SELECT *, unnest(json_keys(props)) AS key FROM events) WHERE key IN ('k')")
 def j2_unpivot(spark, d):
     snaps = table(spark, d, "events").select(F.col("user_id").alias("symbol"), "event_id", "props", F.to_date("ts").alias("fetch_date"))

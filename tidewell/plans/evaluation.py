@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import backtest as T, indicators as I, metrics as E, panel as P, ranks as R, splits as S, views as V
+from ..operators import backtest as T, indicators as I, leaderboard as L, metrics as E, panel as P, ranks as R, splits as S, views as V
 from .base import DAILY, WEEKLY, daily_bars, pred_sql, predictions, query, rnd, sql_rnd, sql_stamp, stamp, table, weekly_bars
 
 PRED = f"{DAILY}, {pred_sql()}"
@@ -312,13 +312,33 @@ def e13_ic_loss(spark, d):
     return _pred(spark, d).agg(rnd(loss, "ic_loss"), rnd(F.avg(e * e) + 0.5 * loss, "combined"))
 
 
-@query(f"WITH {PRED}, f AS (SELECT symbol % 7 AS run, count(*) AS n, sqrt(avg((y_pred - y_true) ** 2)) AS rmse FROM pred GROUP BY 1) SELECT run, CASE WHEN n < 530 THEN 'too few rows' END AS skipped, CASE WHEN n >= 530 THEN round(rmse, 6) END AS rmse, CASE WHEN n >= 530 THEN row_number() OVER (PARTITION BY n < 530 ORDER BY rmse, run) END AS place FROM f")
+RUNS = """f AS (SELECT symbol % 40 AS run, sqrt(avg((y_pred - y_true) ** 2)) AS rmse, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY 1),
+runs AS (SELECT run, rmse, mae, CASE WHEN run % 13 = 5 THEN NULL WHEN run % 11 = 3 THEN 'mlp' ELSE 'ridge' END AS kind, CASE WHEN run % 17 <> 4 THEN run % 9 END AS lookback, 1 + CAST(run % 5 = 2 AS INTEGER) AS horizon, CASE WHEN run % 7 = 6 THEN '1Hour' ELSE '1Day' END AS timeframe, CASE WHEN run % 6 = 1 THEN ['close_lag0', 'vwap_lag0'] ELSE ['close_lag0'] END AS features FROM f)"""
+
+
+def _runs(spark, d):
+    """Saved runs: a fortieth of the symbols each, with settings that differ."""
+    m, run = E.basic(_pred(spark, d).withColumn("run", F.col("symbol") % 40), ["run"]).select("run", "rmse", "mae"), F.col("run")
+    kind = F.when(run % 13 == 5, F.lit(None)).when(run % 11 == 3, "mlp").otherwise("ridge")
+    features = F.when(run % 6 == 1, F.array(F.lit("close_lag0"), F.lit("vwap_lag0"))).otherwise(F.array(F.lit("close_lag0")))
+    return m.select("run", "rmse", "mae", kind.alias("kind"), F.when(run % 17 != 4, run % 9).alias("lookback"), (1 + (run % 5 == 2).cast("int")).alias("horizon"), F.when(run % 7 == 6, "1Hour").otherwise("1Day").alias("timeframe"), features.alias("features"))
+
+
+@query(f"""WITH {PRED}, {RUNS}, r AS (SELECT *, CASE WHEN kind IS NULL THEN 'load_error' WHEN kind <> 'ridge' THEN 'not_a_ridge' WHEN lookback IS NULL THEN 'missing_settings' WHEN horizon <> 1 THEN 'horizon_mismatch' WHEN lookback >= 7 THEN 'lookback_not_smaller' WHEN timeframe <> '1Day' THEN 'timeframe_mismatch' WHEN list_contains(features, 'vwap_lag0') THEN 'missing_features' END AS skip_reason FROM runs)
+SELECT run, skip_reason, CASE WHEN skip_reason IS NULL THEN 'ok' ELSE 'skip' END AS status, CASE WHEN skip_reason IS NULL THEN round(rmse, 6) END AS rmse, CASE WHEN skip_reason IS NULL THEN row_number() OVER (PARTITION BY skip_reason IS NULL ORDER BY rmse, run) END AS place FROM r""")
 def e11_leaderboard(spark, d):
-    """Runs by their error, those that cannot be compared with a reason."""
-    m = E.basic(_pred(spark, d).withColumn("run", F.col("symbol") % 7), ["run"]).withColumn("skipped", F.when(F.col("n") < 530, "too few rows"))
-    place = F.row_number().over(Window.partitionBy("skipped").orderBy("rmse", "run"))
-    ok = F.col("skipped").isNull()
-    return m.withColumn("place", place).select("run", "skipped", F.when(ok, rnd("rmse")).alias("rmse"), F.when(ok, F.col("place").cast("long")).alias("place"))
+    """Saved runs by their error on the candidate's rows, those that cannot be compared with the reason."""
+    r = L.report(_runs(spark, d), lookback=7, horizon=1, timeframe="1Day", available=["close_lag0", "close_lag1", "volume_lag0"])
+    placed = L.ordered(r.filter("status = 'ok'"), ["rmse", "mae"])
+    return placed.select("run", "skip_reason", "status", rnd("rmse"), "place").unionByName(r.filter("status = 'skip'").select("run", "skip_reason", "status", F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("long").alias("place")))
+
+
+@query(f"WITH {PRED}, {RUNS}, v AS (SELECT run, run % 3 AS family, CASE WHEN run % 3 = 1 AND run > 5 THEN rmse END AS rmse, CASE WHEN run % 3 <> 2 THEN mae END AS mae FROM runs) SELECT family, run, CASE family WHEN 1 THEN 'rmse' WHEN 0 THEN 'mae' END AS by, row_number() OVER (PARTITION BY family ORDER BY CASE family WHEN 1 THEN rmse WHEN 0 THEN mae END NULLS LAST, run) AS place FROM v")
+def o8_leaderboard_order(spark, d):
+    """Runs of each family by the first listed metric that any of them has; runs without it come last, families without any go by run."""
+    r = _runs(spark, d).withColumn("family", F.col("run") % 3)
+    some = r.select("run", "family", F.when((F.col("family") == 1) & (F.col("run") > 5), F.col("rmse")).alias("rmse"), F.when(F.col("family") != 2, F.col("mae")).alias("mae"))
+    return L.ordered(some, ["rmse", "mae"], group=("family",)).select("family", "run", "by", "place")
 
 
 @query(f"WITH {PRED} SELECT symbol, {sql_stamp('timestamp')}, CASE WHEN y_pred > 0.1 THEN 'long' WHEN y_pred < -0.1 THEN 'short' ELSE 'neutral' END AS side, CASE WHEN abs(y_true) > 0.15 * 0.012 * sqrt(1) THEN CAST(sign(y_true) AS INTEGER) ELSE 0 END AS direction FROM pred")

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import models as M, panel as P, splits as S, views as V
-from ..sources.tables import overwrite, read_pages, read_query
+from ..operators import leaderboard as L, models as M, panel as P, splits as S, views as V
+from ..sources.tables import append_log, overwrite, read_csv, read_pages, read_query, replace_whole, write_csv
 from ..streaming import streams as T
 from .base import DAILY, daily_bars, query, rnd, sql_rnd, sql_stamp, stamp, table
 
@@ -168,10 +168,38 @@ def w22_best_so_far(spark, d):
     return improved.withColumn("best_epoch", F.max("up").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("user_id", "epoch", "best_epoch", (F.col("epoch") - F.col("best_epoch")).alias("waited"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('c', 2), ('b', 3)) t(run, place)")
-def o8_leaderboard_order(spark, d):
-    """Runs by the first listed metric that any of them has; runs without it come last."""
-    runs = spark.sql("SELECT * FROM VALUES ('a', CAST(NULL AS DOUBLE), 0.1D), ('b', NULL, NULL), ('c', NULL, 0.3D) AS t(run, rmse, mae)")
-    there = runs.agg(*[F.count(c).alias(c) for c in ("rmse", "mae")]).first()
-    by = next(c for c in ("rmse", "mae") if there[c])
-    return runs.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).asc_nulls_last(), "run"))).select("run", "place")
+@query("SELECT event_type, user_id, CASE WHEN user_id % 7 = 0 THEN CASE WHEN event_type = 'click' THEN 'tcn' ELSE 'torch' END WHEN user_id % 7 = 1 THEN 'ridge' WHEN user_id % 7 IN (2, 3) THEN 'sklearn' END AS family FROM (SELECT DISTINCT event_type, user_id FROM events)")
+def m13_artifact_family(spark, d):
+    """Which loader the folder of a saved run needs."""
+    files = F.when(F.col("k") == 0, F.array(F.lit("config.json"), F.lit("model.pt"), F.lit("pipeline.joblib"))).when(F.col("k") == 1, F.array(F.lit("pipeline.joblib"), F.lit("feature_names.json"))).when(F.col("k") == 2, F.array(F.lit("pipeline.joblib"))).when(F.col("k") == 3, F.array(F.lit("artifact.pkl"), F.lit("feature_names.json"))).otherwise(F.array(F.lit("config.json")))
+    runs = table(spark, d, "events").select("event_type", "user_id").distinct().withColumn("k", F.col("user_id") % 7)
+    kind = F.when(F.col("event_type") == "click", "TCN_regressor").otherwise("cnn")
+    return runs.select("event_type", "user_id", L.artifact_family(files, kind).alias("family"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer")
+def s10_csv_round_trip(spark, d):
+    """Written as CSV and read again, nulls included."""
+    path = f"{_shared(spark)}/csv"
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"))
+    write_csv(rows, path)
+    return read_csv(spark, path, rows.schema)
+
+
+@query("SELECT user_id, count(*) + 1 AS n FROM events GROUP BY user_id")
+def s11_replace_whole(spark, d):
+    """A table replaced by one that is made from it."""
+    path = f"{_shared(spark)}/table"
+    replace_whole(table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), path)
+    replace_whole(spark.read.parquet(path).select("user_id", (F.col("n") + 1).alias("n")), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || event_type || '] user ' || user_id AS value FROM events")
+def s12_log_lines(spark, d):
+    """Lines with their time and source, added in two goes."""
+    path = f"{_shared(spark)}/log"
+    lines = table(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("source"), F.concat(F.lit("user "), F.col("user_id")).alias("message"), "event_id")
+    append_log(lines.filter("event_id % 2 = 0"), path)
+    append_log(lines.filter("event_id % 2 <> 0"), path)
+    return spark.read.text(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,36 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV file for each partition, with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def replace_whole(df: DataFrame, path: str) -> None:
+    """The table at path becomes df in one rename: until then readers see all of the old one, and df may be made from it."""
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(at(path))
+    if there:
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(new), at(path)):
+        if there:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{path} could not be replaced")
+    if there:
+        fs.delete(at(old), True)
+
+
+def append_log(lines: DataFrame, path: str, source: str = "source", message: str = "message", at: str = "at") -> None:
+    """Lines `[time] [source] message` added to a folder of text files, after what is there."""
+    stamp = F.date_format(F.col(at).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    lines.select(F.concat(F.lit("["), stamp, F.lit("] ["), F.col(source), F.lit("] "), F.col(message)).alias("value")).write.mode("append").text(path)
 
 
 PAGE = "symbol string, token string, next_page_token string, bars array<struct<t:string,c:double>>"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, utf8
+from .common import map_arrow, pick, utf8, written
 
 FIT_ROWS = 12_000
 ORDERS = (1, 2, 3, 4)
@@ -89,7 +89,8 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_ro
     """The model, from labelled rows: languages, codewords, weights of each feature and bit."""
     rows = pick(train, lang_col, text_col).toDF("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
     hashed = rows.withColumn("hash", F.xxhash64("text"))
-    there = hashed.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # A written table: its size is known when the join is planned, so the texts are not dealt out by language for it.
+    there = written(hashed.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     some = hashed.join(there, "lang").filter(F.pmod("hash", F.lit(1_000_003)) < F.lit(1_000_003.0 * fit_rows) / F.col("n"))
     drawn = some.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
     size = len(ORDERS) * BUCKETS + 1

@@ -45,7 +45,13 @@ def m7_ridge(spark, d):
     return spark.range(1).select(F.round(F.lit(m["weights"][0]), 8).alias("slope"), F.round(F.lit(m["intercept"]), 8).alias("intercept"))
 
 
-@query()
+@query(f"""WITH {DAILY}, {SUP}, ax AS (SELECT timestamp AS t, row_number() OVER (ORDER BY timestamp) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT timestamp FROM sup)),
+f AS (SELECT fold, (SELECT t FROM ax WHERE i = n - (3 - fold) * (n // 4) - 1) AS a, (SELECT t FROM ax WHERE i = n - (3 - fold) * (n // 4) + n // 4 - 1) AS b FROM (SELECT unnest(range(3)) AS fold)),
+r AS (SELECT fold, close_lag0 AS x1, close_lag1 AS x2, y, CASE WHEN timestamp <= a AND target_timestamp <= a THEN 'train' WHEN timestamp > a AND timestamp <= b AND target_timestamp <= b THEN 'test' END AS role FROM sup, f),
+m AS (SELECT fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, x2) / s1 / s2 AS c, covar_pop(x1, y) / s1 AS q1, covar_pop(x2, y) / s2 AS q2 FROM r WHERE role = 'train' GROUP BY fold),
+w AS (SELECT *, CAST(penalty AS DOUBLE) AS alpha, n * ((n + penalty) * q1 - n * c * q2) / ((n + penalty) ** 2 - (n * c) ** 2) / s1 AS w1, n * ((n + penalty) * q2 - n * c * q1) / ((n + penalty) ** 2 - (n * c) ** 2) / s2 AS w2 FROM m, (SELECT unnest([0.1, 1, 10, 1000]::DOUBLE[]) AS penalty)),
+e AS (SELECT w.fold, alpha, sqrt(avg((my + w1 * (x1 - m1) + w2 * (x2 - m2) - y) ** 2)) AS rmse FROM w JOIN r ON r.fold = w.fold WHERE role = 'test' GROUP BY w.fold, alpha)
+SELECT alpha, round(avg(rmse), 6) + 0.0 AS rmse FROM e GROUP BY alpha""")
 def m7_ridge_cv(spark, d):
     """Error of each penalty over purged folds."""
     folds = S.purged_folds(_supervised(spark, d), 3)

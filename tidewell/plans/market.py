@@ -229,7 +229,13 @@ def w12_atr(spark, d):
     return I.add_recursive(weekly_bars(spark, d)).filter("ATRr_14 IS NOT NULL").select("symbol", stamp("timestamp"), rnd("ATRr_14", "atr_14", 4))
 
 
-@query()
+@query(f"""WITH {WEEKLY}, f AS (SELECT symbol, timestamp, close, high, low, lag(close) OVER o AS p, avg(close) OVER w AS m, stddev_pop(close) OVER w AS s, row_number() OVER o AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY timestamp), w AS (PARTITION BY symbol ORDER BY timestamp ROWS 19 PRECEDING)),
+l AS (SELECT *, list(close) OVER o AS c, (list(greatest(close - p, 0)) OVER o)[2:] AS u, (list(greatest(p - close, 0)) OVER o)[2:] AS v, list(greatest(high - low, abs(high - p), abs(low - p))) OVER o AS t FROM f WHERE n > 50 WINDOW o AS (PARTITION BY symbol ORDER BY timestamp ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, {_fold_sql('list_concat([list_avg(c[1:12])], c[13:])', '2.0 / 13')} - {_fold_sql('list_concat([list_avg(c[1:26])], c[27:])', '2.0 / 27')} AS line FROM l),
+h AS (SELECT *, (list(line) OVER (PARTITION BY symbol ORDER BY timestamp ROWS UNBOUNDED PRECEDING))[26:] AS lines FROM k),
+r AS (SELECT *, {_fold_sql('list_concat([list_avg(c[1:50])], c[51:])', '2.0 / 51')} AS ema, {_fold_sql('u', '1.0 / 14')} AS up, {_fold_sql('v', '1.0 / 14')} AS down, {_fold_sql('t', '1.0 / 14')} AS atr, {_fold_sql('list_concat([list_avg(lines[1:9])], lines[10:])', '0.2')} AS signal FROM h WHERE i >= 50)
+SELECT symbol, {sql_stamp('timestamp')}, round(m, 4) AS SMA_20, round(m - 2 * s, 4) + 0.0 AS BBL_20_2_0, round(m, 4) AS BBM_20_2_0, round(m + 2 * s, 4) AS BBU_20_2_0, round(400 * s / m, 4) AS BBB_20_2_0, round((close - m + 2 * s) / (4 * s), 4) + 0.0 AS BBP_20_2_0, round(ema, 4) AS EMA_50, round(100 * up / (up + down), 4) AS RSI_14, round(atr, 4) AS ATRr_14,
+round(line, 4) + 0.0 AS MACD_12_26_9, round(line - signal, 4) + 0.0 AS MACDh_12_26_9, round(signal, 4) + 0.0 AS MACDs_12_26_9 FROM r WHERE s > 0 AND m <> 0 AND up + down > 0""")
 def w7_w12_indicator_table(spark, d):
     """All indicators, incomplete rows left out on both sides."""
     out = I.indicators(weekly_bars(spark, d))

@@ -299,6 +299,41 @@ def test_models(spark, tmp_path):
     assert models.predict(m, df.drop("b"), strict=False).count() == 200
 
 
+def test_cross_validation_against_single_fits(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 2))
+    y = x @ [1.5, -0.5] + 3 + rng.normal(scale=0.1, size=90)
+    rows = [(i % 3, "train" if i % 5 else "test", float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([*rows, (0, "test", None, 1.0, 2.0), (1, "train", 1.0, 1.0, None)], "fold int, role string, a double, b double, y double")
+    got = {r.alpha: r.rmse for r in models.cross_validate(df, ["a", "b"], "y", [0.0, 5.0]).collect()}
+    for alpha, rmse in got.items():
+        errors = []
+        for f in range(3):
+            part = {k: np.array([r[2:] for r in rows if r[0] == f and r[1] == k]) for k in ("train", "test")}
+            z, t = part["train"][:, :2], part["train"][:, 2]
+            mean, dev = z.mean(0), z.std(0)
+            z = (z - mean) / dev
+            w = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (t - t.mean()))
+            errors.append(np.sqrt(np.mean(((part["test"][:, :2] - mean) / dev @ w + t.mean() - part["test"][:, 2]) ** 2)))
+        assert rmse == pytest.approx(np.mean(errors), rel=1e-9)
+    assert len(got) == 2
+    with pytest.raises(ValueError):
+        models.cross_validate(df.filter("fold <> 2 OR role = 'test'"), ["a", "b"], "y", [1.0])
+
+
+def test_boosted_trees_find_a_step(spark):
+    rows = [(("train", "val", "test")[i % 3], i // 10 / 5, float(i * 7 % 11), 4.0 if i >= 100 else -2.0) for i in range(240)]
+    df = spark.createDataFrame([*rows, ("train", None, 1.0, 9.0), ("val", 1.0, 1.0, None)], "split string, a double, b double, y double")
+    model, table = models.fit_boosted(df, ["a", "b"], "y", [{"maxDepth": 0}, {"maxDepth": 2}, {"maxDepth": 2}], rounds=6)
+    tried = table.collect()
+    assert [r.point for r in tried] == [1, 2, 0] and tried[0].rmse == pytest.approx(0, abs=1e-9)
+    assert tried[2].rmse == pytest.approx(np.std([r[3] for r in rows if r[0] == "val"]), rel=0.05) and tried[0].trees < 6
+    got = model.transform(models.assemble(df.filter("split = 'test'"), ["a", "b"])).select("y", "prediction").collect()
+    assert len(got) == 80 and all(r.prediction == pytest.approx(r.y) for r in got)
+    with pytest.raises(ValueError):
+        models.fit_boosted(df.filter("split <> 'val'"), ["a", "b"], "y", [{"maxDepth": 2}], rounds=2)
+
+
 def test_stream_accepts_late_bars(spark, tmp_path):
     schema = "key string, seq long, volume long, trade_count long"
     spark.createDataFrame([("a", 1, 5, 5), ("a", 2, 9, 4)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")

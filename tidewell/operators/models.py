@@ -18,31 +18,36 @@ from .metrics import rank_cross_section
 from .panel import align, parse_lag_name
 
 
-def _moments(df: DataFrame, features: list[str], target: str) -> np.ndarray:
-    """Sum of outer products of (1, features, target), by task and then in all."""
-    rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate([*features, target])]).dropna()
-    k = len(features) + 2
+def _moments(df: DataFrame, features: list[str], target: str, group: Column | None = None) -> dict[str, np.ndarray]:
+    """Sum of outer products of (1, features, target) for each value of `group` (text; few values), by task and then in all."""
+    names = [*features, target]
+    rows = df.select((F.lit("") if group is None else group).alias("g"), *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(names)]).dropna()
+    k = len(names) + 1
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
-
-    sums = rows.mapInArrow(part, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k * k)
+            x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]])
+            groups = batch.column(0).dictionary_encode()
+            at = groups.indices.to_numpy()
+            for code, g in enumerate(groups.dictionary.to_pylist()):
+                own = x[at == code]
+                totals[g] = totals.get(g, 0) + own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([t.ravel().tolist() for t in totals.values()], pa.list_(pa.float64()))], names=["g", "m"])
+
+    sums = rows.mapInArrow(part, "g string, m array<double>").select("g", F.posexplode("m").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v")).collect()
+    out: dict[str, np.ndarray] = {}
     for r in sums:
-        out[r.i] = r.v
-    return out.reshape(k, k)
+        out.setdefault(r.g, np.zeros(k * k))[r.i] = r.v
+    return {g: m.reshape(k, k) for g, m in out.items()}
 
 
 def fit_ridge(df: DataFrame, features: list[str], target: str = "y", alpha: float = 1.0, moments: np.ndarray | None = None) -> dict:
     """Ridge on standardised features (population deviation), intercept unpenalised: a model of plain numbers."""
-    m = _moments(df, features, target) if moments is None else moments
-    n = m[0, 0]
-    if n == 0:
+    m = _moments(df, features, target).get("") if moments is None else moments
+    if m is None:
         raise ValueError("no rows to fit")
+    n = m[0, 0]
     mean = m[0, 1:] / n
     cov = m[1:, 1:] / n - np.outer(mean, mean)
     p = len(features)
@@ -71,19 +76,56 @@ def predict(model: dict, df: DataFrame, strict: bool = True, fill: float = 0.0,
 
 
 def cross_validate(folds: DataFrame, features: list[str], target: str, alphas: list[float]) -> DataFrame:
-    """Error of each alpha over folds (fold, role train/test): alpha, mean rmse; lowest first. Sums are made once a fold, for all alphas."""
+    """Error of each alpha over folds (fold, role train/test): alpha, mean rmse; lowest first.
+
+    One pass over the rows sums the moments of every fold's two parts; fits and squared errors both follow from them. Rows with a null
+    feature or target count in neither; a fold without test rows has no error, one without training rows is refused.
+    """
+    sums = _moments(folds, features, target, F.concat_ws(" ", F.col("fold").cast("string"), "role"))
     out = []
-    spark = folds.sparkSession
-    for f in sorted(r.fold for r in folds.select("fold").distinct().collect()):
-        one = folds.filter(F.col("fold") == f)
-        m = _moments(one.filter("role = 'train'"), features, target)
-        models = [fit_ridge(one, features, target, a, m) for a in alphas]
-        errors = one.filter("role = 'test'").agg(*[F.sqrt(F.avg((predict_column(x) - F.col(target)) ** 2)).alias(f"e{i}") for i, x in enumerate(models)]).first()
-        out += [(int(f), float(a), float(errors[i])) for i, a in enumerate(alphas) if errors[i] is not None]
-    table = spark.createDataFrame(out, "fold int, alpha double, rmse double")
+    for f in sorted({int(g.split(" ")[0]) for g in sums}):
+        train, test = sums.get(f"{f} train"), sums.get(f"{f} test")
+        if train is None:
+            raise ValueError(f"no rows to fit in fold {f}")
+        for a in alphas if test is not None else ():
+            model = fit_ridge(folds, features, target, a, train)
+            v = np.array([model["intercept"], *model["weights"], -1.0])
+            out.append((f, float(a), float(np.sqrt(max(v @ test @ v, 0.0) / test[0, 0]))))
+    table = folds.sparkSession.createDataFrame(out, "fold int, alpha double, rmse double")
     return table.groupBy("alpha").agg(F.avg("rmse").alias("rmse")).orderBy("rmse", "alpha")
 
 
+def fit_boosted(rows: DataFrame, features: list[str], target: str, grid: list[dict], rounds: int = 50, tolerance: float = 0.01, seed: int = 1):
+    """Gradient-boosted trees for each point of a grid (parameters of Spark's own regressor): the best model, and one row a point with its trees and error, best first.
+
+    Rows have a split; those of `train` are fitted, those of `val` stop a fit once it gains less than `tolerance` and then choose the point
+    (ties: the earlier one). Rows with a null feature or target are left out of both. The model reads the column `x` that `assemble` makes.
+    """
+    from pyspark.ml.regression import GBTRegressor
+
+    used = assemble(rows.filter("split IN ('train', 'val')").dropna(subset=[target]), features).select("x", F.col(target).alias("y"), (F.col("split") == "val").alias("val")).persist()
+    try:
+        if used.select("val").distinct().count() < 2:
+            raise ValueError("no rows to fit or to validate on")
+        fits = []
+        for i, point in enumerate(grid):
+            model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=rounds, validationIndicatorCol="val", validationTol=tolerance, seed=seed, **point).fit(used)
+            rmse = model.transform(used.filter("val")).agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).first()[0]
+            fits.append((rmse, i, model))
+    finally:
+        used.unpersist()
+    fits.sort(key=lambda x: x[:2])
+    table = rows.sparkSession.createDataFrame([(i, str(grid[i]), m.getNumTrees, float(e)) for e, i, m in fits], "point int, parameters string, trees int, rmse double")
+    return fits[0][2], table
+
+
+def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
+    """rows with the features as one vector, x; rows with a null or nan among them are left out."""
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip").transform(rows)
+
+
 def save_artifact(spark: SparkSession, model: dict, path: str, metrics: dict | None = None) -> None:
     write_json(spark, {"model": model, "metrics": metrics or {}}, path)
 

@@ -25,7 +25,7 @@ def _shared(spark) -> str:
     return f"{root.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
 
 
-SUP = "sup AS (SELECT * FROM (SELECT symbol, timestamp, lead(timestamp) OVER w AS target_timestamp, close AS close_lag0, lag(close) OVER w AS close_lag1, ln(lead(close) OVER w / close) AS y FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)) WHERE y IS NOT NULL AND close_lag1 IS NOT NULL)"
+SUP = "sup AS (SELECT * FROM (SELECT symbol, timestamp, lead(timestamp) OVER w AS target_timestamp, close AS close_lag0, lag(close) OVER w AS close_lag1, CASE WHEN close > 0 AND lead(close) OVER w > 0 THEN ln(lead(close) OVER w / close) END AS y FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)) WHERE y IS NOT NULL AND close_lag1 IS NOT NULL)"
 
 
 FEATURES = ["close_lag0", "close_lag1"]

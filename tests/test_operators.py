@@ -388,3 +388,15 @@ def test_long_horizon_without_short_partner(spark, tmp_path):
     got = {r.timestamp[8:10]: (r.y_1, r.y_5) for r in QUERIES["k11_align_horizons"](spark, str(tmp_path)).collect()}
     near = lambda a, b: pytest.approx(np.log(a / b), abs=1e-6)
     assert got == {"06": (None, near(11, 6)), "08": (None, near(13, 8)), "09": (near(10, 9), near(14, 9))}
+
+
+def test_live_ranks_ignore_the_noise_of_sums(spark, tmp_path):
+    """Equal sums of unequal terms, whose doubles differ in the last place, tie: the smaller symbol is first."""
+    from tidewell.plans import QUERIES
+
+    pairs = [(k / 100, (2 * k + 34) / 100) for k in range(1, 401)]
+    values = [0.02 + b * -0.001 + a * 0.0005 for b, a in pairs]
+    assert len(set(values)) > 1 and len({round(v, 9) for v in values}) == 1
+    events_of(spark, tmp_path, [[a, b] for b, a in pairs])
+    got = {r.symbol: r["rank"] for r in QUERIES["m11_live_predictions"](spark, str(tmp_path)).collect()}
+    assert got == {u: u + 1 for u in range(len(pairs))}

@@ -12,6 +12,13 @@ def to_number(c: Column) -> Column:
     return F.when(t.isin("", "null", "none", "nan"), None).when(t == "true", 1.0).when(t == "false", 0.0).otherwise(c.try_cast("double"))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double scaled by a power of ten, rounded half away from zero, scaled back: the C library's way. Spark's own rounds the shortest decimal, so that halves may go the other way."""
+    x = c.cast("double")
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 10.0**digits).otherwise(x)
+
+
 def epoch(c: Column) -> Column:
     """Seconds since 1970 as double, of a timestamp without zone."""
     return F.unix_timestamp(c.cast("timestamp")).cast("double")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rounded
+
 
 def finite(*columns: str) -> Column:
     out = F.lit(True)
@@ -110,10 +112,11 @@ def buckets(df: DataFrame, n: int = 10, y: str = "y_true", p: str = "y_pred") ->
     return df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter(inner, lambda e: e < F.col(p)))).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_true"), F.avg(p).alias("mean_pred"))
 
 
-def rank_cross_section(df: DataFrame, q: float = 0.1, by: list[str] = ("timestamp", "horizon"), p: str = "y_pred", tie: str = "symbol") -> DataFrame:
-    """rank (1 best, ties by `tie`), rank_pct, bucket: long if rank_pct <= q, short if >= 1 - q, else neutral."""
+def rank_cross_section(df: DataFrame, q: float = 0.1, by: list[str] = ("timestamp", "horizon"), p: str = "y_pred", tie: str = "symbol", digits: int | None = None) -> DataFrame:
+    """rank (1 best, ties by `tie`), rank_pct, bucket: long if rank_pct <= q, short if >= 1 - q, else neutral. With `digits`, predictions that are equal once rounded tie."""
     w = Window.partitionBy(*by)
-    out = df.withColumn("rank", F.row_number().over(w.orderBy(F.col(p).desc(), F.col(tie).asc()))).withColumn("rank_pct", F.col("rank") / F.count(F.lit(1)).over(w))
+    key = F.col(p) if digits is None else rounded(F.col(p), digits)
+    out = df.withColumn("rank", F.row_number().over(w.orderBy(key.desc(), F.col(tie).asc()))).withColumn("rank_pct", F.col("rank") / F.count(F.lit(1)).over(w))
     return out.withColumn("bucket", F.when(F.col("rank_pct") <= q, "long").when(F.col("rank_pct") >= 1 - q, "short").otherwise("neutral"))
 
 

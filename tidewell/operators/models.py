@@ -169,13 +169,13 @@ def lags_of(features: list[str]) -> dict[str, list[int]]:
 
 
 def live(model: dict, bars: DataFrame, horizon: int, q: float = 0.1) -> DataFrame:
-    """Predictions on each symbol's latest row: y_pred, predicted price, rank, share, bucket."""
+    """Predictions on each symbol's latest row: y_pred, predicted price, rank, share, bucket. Ranks go by nine places of a prediction: what is beyond them is the order of its sum."""
     from .panel import inference
 
     rows = inference(bars, list(lags_of(model["features"])), 0, "latest", spec=lags_of(model["features"]))
     p = predict(model, align(rows, model["features"])).join(bars.select("symbol", "timestamp", "close"), ["symbol", "timestamp"])
     p = p.withColumn("horizon", F.lit(horizon)).withColumn("predicted_price", F.col("close") * F.exp("y_pred"))
-    return rank_cross_section(p, q, ["timestamp", "horizon"])
+    return rank_cross_section(p, q, ["timestamp", "horizon"], digits=9)
 
 
 def comparison(models: dict[int, dict], bars: DataFrame, features: list[str], lookback: int) -> DataFrame:

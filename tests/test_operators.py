@@ -400,3 +400,39 @@ def test_live_ranks_ignore_the_noise_of_sums(spark, tmp_path):
     events_of(spark, tmp_path, [[a, b] for b, a in pairs])
     got = {r.symbol: r["rank"] for r in QUERIES["m11_live_predictions"](spark, str(tmp_path)).collect()}
     assert got == {u: u + 1 for u in range(len(pairs))}
+
+
+def test_stream_folds_in_order_of_arrival(spark, tmp_path):
+    """Files in any order, and a key with several Arrow batches of rows: the fold is that of all rows sorted."""
+    rng = np.random.default_rng(3)
+    null = lambda x: None if rng.random() < 0.1 else int(x)
+    rows = [(f"k{i % 7}", i, null(rng.integers(30)), null(rng.integers(30))) for i in range(2000)]
+    rows += [("big", i, 1 + i % 5000, 2**60 + i // 5000) for i in range(25000)]
+    want = {}
+    for k, *new in rows:
+        old = want.setdefault(k, new)
+        if None not in old[1:] and None not in new[1:] and new[1] >= old[1] and new[2] >= old[2]:
+            want[k] = new
+    schema = "key string, seq long, volume long, trade_count long"
+    spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], schema).repartition(8).write.parquet(f"{tmp_path}/in")
+    out = streams.run_to_table(streams.guarded_upserts(streams.files(spark, f"{tmp_path}/in*", schema, 3)), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert {r.key: [r.seq, r.volume, r.trade_count] for r in streams.last_state(out, ["key"]).collect()} == want
+
+
+def test_standing_rows_give_the_fold():
+    rng = np.random.default_rng(4)
+
+    def fold(rows):
+        kept = rows[0]
+        for r in rows[1:]:
+            kept = r if None not in kept and None not in r and r[1] >= kept[1] and r[2] >= kept[2] else kept
+        return kept
+
+    for _ in range(3000):
+        n, top = int(rng.integers(1, 25)), int(rng.integers(1, 6))
+        rows = [(i, *[None if rng.random() < 0.1 else int(x) for x in rng.integers(top, size=2)]) for i in range(n)]
+        held, seen = [], []
+        for part in np.array_split(rng.permutation(n), int(rng.integers(1, 6))):
+            seen = sorted([*seen, *[rows[i] for i in part]], key=lambda r: r[0])
+            held = streams._standing(sorted([*held, *[rows[i] for i in part]], key=lambda r: r[0]))
+            assert not seen or fold(held) == fold(seen)

@@ -436,3 +436,31 @@ def test_standing_rows_give_the_fold():
             seen = sorted([*seen, *[rows[i] for i in part]], key=lambda r: r[0])
             held = streams._standing(sorted([*held, *[rows[i] for i in part]], key=lambda r: r[0]))
             assert not seen or fold(held) == fold(seen)
+
+
+def test_logarithms_and_halves_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    x = [0.5046875, 40698 / 80640, 5166 / 80640, -2.5e-7, 1e300, float("inf"), 0.0, -1.0, None, *np.exp(2 * rng.normal(size=5000)).tolist()]
+    spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").coalesce(1).write.parquet(f"{tmp_path}/x")
+    got = spark.read.parquet(f"{tmp_path}/x").select("i", scalar.ln(F.col("x")), scalar.rounded(F.col("x"), 6)).orderBy("i").collect()
+    want = duckdb.sql(f"SELECT i, CASE WHEN x > 0 THEN ln(x) END, round(x, 6) FROM '{tmp_path}/x/*.parquet' ORDER BY i").fetchall()
+    assert [tuple(r) for r in got] == want
+
+
+def test_ranks_over_many_symbols_as_in_sql(spark, tmp_path):
+    """Quotients that differ in the last place or are alike, and shares that end in a half."""
+    import duckdb
+
+    from tidewell.plans import ORACLE_SQL, QUERIES
+
+    rng = np.random.default_rng(7)
+    base = [(int(a), int(b), float(k)) for a, b, k in zip(rng.integers(1, 40, 640), rng.integers(1, 40, 640), rng.integers(1, 400, 640))]
+    order = rng.permutation(1280)
+    events_of(spark, tmp_path, [[(a * k if i < 640 else a * 3.0) / 100, (b * k if i < 640 else b * 3.0) / 100, 1.0] for i in order for a, b, k in [base[i % 640]]])
+    df = QUERIES["w14_rank_cross_section"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == 1280 and got == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL['w14_rank_cross_section']})").fetchall())

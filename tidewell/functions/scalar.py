@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,15 @@ def rounded(c: Column, digits: int) -> Column:
     return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 10.0**digits).otherwise(x)
 
 
+def ln(c: Column) -> Column:
+    """The C library's natural logarithm, null unless above 0. Spark's own (that of StrictMath) differs in the last place of some, and ranks of logarithms turn on it."""
+
+    def log(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None or v <= 0 else math.log(v) for v in x.to_pylist()], pa.float64())
+
+    return F.arrow_udf(log, "double")(c)
+
+
 def epoch(c: Column) -> Column:
     """Seconds since 1970 as double, of a timestamp without zone."""
     return F.unix_timestamp(c.cast("timestamp")).cast("double")

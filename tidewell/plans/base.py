@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ln, rounded
 from ..operators.bars import bars_from_ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def stamp(c: str, name: str | None = None) -> Column:
 
 def rnd(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
     """Rounded, as aggregation orders differ; the sum with 0 makes -0 into 0."""
-    return (F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)).alias(name or c)
+    return (rounded(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)).alias(name or c)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def predictions(bars: DataFrame, horizon: int = 1) -> DataFrame:
     """symbol, timestamp, target_timestamp, horizon, y_true (forward log return), y_pred (momentum of the same span)."""
     w = Window.partitionBy("symbol").orderBy("timestamp")
     ahead, back = F.lead("close", horizon).over(w), F.lag("close", horizon).over(w)
-    safe = lambda a, b: F.when((a > 0) & (b > 0), F.ln(a / b))
+    safe = lambda a, b: ln(F.when((a > 0) & (b > 0), a / b))
     out = bars.select("symbol", "timestamp", F.lead("timestamp", horizon).over(w).alias("target_timestamp"), F.lit(horizon).alias("horizon"), safe(ahead, F.col("close")).alias("y_true"), safe(F.col("close"), back).alias("y_pred"))
     return out.filter("y_true IS NOT NULL AND y_pred IS NOT NULL")
 
